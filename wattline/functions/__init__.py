@@ -3,4 +3,4 @@ from wattline.functions.timefn import (  # noqa: F401
     add_minutes, add_days, as_ntz,
 )
 from wattline.functions.calendar import calendar_columns, deepar_time_columns  # noqa: F401
-from wattline.functions.safe import safe_div, nan_to_null, null_or_nan  # noqa: F401
+from wattline.functions.safe import safe_div, nan_to_null, null_or_nan, exact_sum, exact_mean  # noqa: F401

@@ -23,3 +23,18 @@ def nan_to_null(col) -> Column:
 def null_or_nan(col) -> Column:
     c = _c(col)
     return c.isNull() | F.isnan(c)
+
+
+# Measures are summed as DECIMAL(18,6) (sum type DECIMAL(28,6)): the total is then
+# independent of partitioning and task order, so a retried or re-planned job gives
+# bit-identical means.  Values need |x| < 1e12.
+EXACT = "decimal(18,6)"
+
+
+def exact_sum(col) -> Column:
+    """Order-independent sum (a DECIMAL); cast to double where a double is wanted."""
+    return F.sum(_c(col).cast(EXACT))
+
+
+def exact_mean(sum_col, count_col) -> Column:
+    return F.try_divide(_c(sum_col).cast("double"), _c(count_col))

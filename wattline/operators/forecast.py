@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline import SLOT_MINUTES, SLOTS_PER_DAY
-from wattline.functions.safe import safe_div
+from wattline.functions.safe import exact_mean, exact_sum, safe_div
 from wattline.functions.timefn import add_minutes, floor_day, half_open
 
 
@@ -110,9 +110,9 @@ def hist_mean_asof(panel: DataFrame, orig: DataFrame, target: str, keys=("item_i
                    ts: str = "datetime_15min") -> DataFrame:
     """Mean of ``target`` over rows strictly before each origin (F1 fallback, W4)."""
     daily = panel.groupBy(*keys, floor_day(ts).alias("day")).agg(
-        F.sum(target).alias("_s"), F.count(target).alias("_n"))
-    a = _asof_daily(daily, orig, keys, {"_s": "double", "_n": "bigint"}, "sum")
-    return a.select(*keys, "origin", safe_div("_s", "_n").alias("hist_mean"))
+        exact_sum(target).alias("_s"), F.count(target).alias("_n"))
+    a = _asof_daily(daily, orig, keys, {"_s": "decimal(28,6)", "_n": "bigint"}, "sum")
+    return a.select(*keys, "origin", exact_mean("_s", "_n").alias("hist_mean"))
 
 
 def last_known_asof(panel: DataFrame, orig: DataFrame, col: str = "n_clients", keys=("item_id",),

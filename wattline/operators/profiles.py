@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.functions.safe import null_or_nan, safe_div
+from wattline.functions.safe import exact_mean, exact_sum, null_or_nan
 from wattline.functions.timefn import half_open
 
 # Fixed list of the 48 profile columns: hour 00..23 on weekdays, then weekends.
@@ -24,9 +24,10 @@ def profile_partials(readings: DataFrame, start=None, end=None) -> DataFrame:
                     F.hour("datetime_local").alias("hour"),
                     dow.isin(1, 7).cast("int").alias("is_weekend"))
     x = F.col("active_kw")
-    return feat.groupBy("client_id", "community_code", "is_weekend", "hour").agg(
-        F.avg(x).alias("avg_kw"), F.sum(x).alias("sum_kw"), F.sum(x * x).alias("sumsq_kw"),
-        F.max(x).alias("max_kw"), F.count(F.lit(1)).alias("n"))
+    part = feat.groupBy("client_id", "community_code", "is_weekend", "hour").agg(
+        exact_sum(x).alias("sum_kw"), exact_sum(x * x).alias("sumsq_kw"),
+        F.max(x).alias("max_kw"), F.count(x).alias("n"))
+    return part.withColumn("avg_kw", exact_mean("sum_kw", "n"))
 
 
 def client_stats(partials: DataFrame) -> DataFrame:
@@ -35,8 +36,8 @@ def client_stats(partials: DataFrame) -> DataFrame:
     by_region = partials.groupBy("client_id", "community_code").agg(F.sum("n").alias("_rn"))
     region = by_region.groupBy("client_id").agg(
         F.min_by("community_code", F.struct(-F.col("_rn"), F.col("community_code"))).alias("community_code"))
-    mean = F.sum("sum_kw") / F.sum("n")
-    var = F.sum("sumsq_kw") / F.sum("n") - F.pow(mean, F.lit(2))
+    mean = exact_mean(F.sum("sum_kw"), F.sum("n"))
+    var = exact_mean(F.sum("sumsq_kw"), F.sum("n")) - F.pow(mean, F.lit(2))
     stats = partials.groupBy("client_id").agg(
         mean.alias("mean_kw"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std_kw"), F.max("max_kw").alias("max_kw"))
     return region.join(stats, "client_id")
@@ -55,7 +56,7 @@ def profile_wide(partials: DataFrame) -> DataFrame:
                      F.when(F.col("is_weekend") == 1, "_we").otherwise("_wd"))
     # avg over the region rows of a client-hour keeps a client in two regions deterministic
     hourly = partials.groupBy("client_id", label.alias("col_name")).agg(
-        safe_div(F.sum("sum_kw"), F.sum("n")).alias("avg_kw"))
+        exact_mean(F.sum("sum_kw"), F.sum("n")).alias("avg_kw"))
     wide = hourly.groupBy("client_id").pivot("col_name", PIVOT_COLS).agg(F.first("avg_kw"))
     return wide.fillna(0, subset=PIVOT_COLS)
 

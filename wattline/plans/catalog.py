@@ -37,9 +37,17 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def snap(c: str, digits: int = 6):
+    """``floor(x * 10^d + 0.5) / 10^d``: the same IEEE steps as the oracle SQL, so equal
+    inputs give equal outputs even on exact ties (built-in ``round`` differs by engine)."""
+    scale = float(10 ** digits)
+    x = F.col(c)
+    return F.when(F.isnan(x), x).otherwise(F.floor(x * scale + 0.5) / scale)
+
+
 def present(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (see module doc)."""
-    return df.withColumns({f.name: F.round(f.name, digits) for f in df.schema.fields
+    """Snap every double column to ``digits`` decimals (see module doc)."""
+    return df.withColumns({f.name: snap(f.name, digits) for f in df.schema.fields
                            if isinstance(f.dataType, (DoubleType, FloatType))})
 
 
@@ -357,10 +365,10 @@ def local_validation(spark, d):
     "grid AS (SELECT v.item_id, v.datetime_15min, o.origin FROM val v JOIN orig o ON v.item_id = o.item_id)",
     V.hist_mean_cte("hm", "orig", "hist"),
     V.seasonal_pred_cte("pred", "grid", "hist", "hm", 1)],
-    """SELECT avg(abs(pt.predicted - at.actual)) AS total_mae, count(*) AS n_steps
+    """SELECT avg(abs(pt.predicted - act.actual)) AS total_mae, count(*) AS n_steps
 FROM (SELECT datetime_15min, sum(prediction) AS predicted FROM pred GROUP BY 1) pt
-JOIN (SELECT datetime_15min, sum(active_kw) AS actual FROM val GROUP BY 1) at ON pt.datetime_15min = at.datetime_15min
-WHERE pt.predicted IS NOT NULL AND at.actual IS NOT NULL""", ["total_mae"]))
+JOIN (SELECT datetime_15min, sum(active_kw) AS actual FROM val GROUP BY 1) act ON pt.datetime_15min = act.datetime_15min
+WHERE pt.predicted IS NOT NULL AND act.actual IS NOT NULL""", ["total_mae"]))
 def last_day_validation(spark, d):
     return present(E.last_day_validation(_load(spark, d, "region"), FC.SeasonalNaive(96), HORIZON))
 
@@ -372,10 +380,10 @@ _HOLDOUT_CTES = [V.READINGS, V.load_cte("load", "region"),
   WHERE f.f < date_trunc('day', t.datetime_15min))""",
                  V.grid_cte("grid", "orig"), V.hist_mean_cte("hm", "orig", "load"),
                  V.seasonal_pred_cte("pred", "grid", "load", "hm", 1),
-                 """slots AS (SELECT pt.datetime_15min, pt.predicted, at.actual, date_trunc('day', pt.datetime_15min) AS date
+                 """slots AS (SELECT pt.datetime_15min, pt.predicted, act.actual, date_trunc('day', pt.datetime_15min) AS date
   FROM (SELECT datetime_15min, sum(prediction) AS predicted FROM pred GROUP BY 1) pt
-  JOIN (SELECT datetime_15min, sum(active_kw) AS actual FROM test GROUP BY 1) at ON pt.datetime_15min = at.datetime_15min
-  WHERE pt.predicted IS NOT NULL AND at.actual IS NOT NULL)""",
+  JOIN (SELECT datetime_15min, sum(active_kw) AS actual FROM test GROUP BY 1) act ON pt.datetime_15min = act.datetime_15min
+  WHERE pt.predicted IS NOT NULL AND act.actual IS NOT NULL)""",
                  """daily AS (SELECT date, avg(abs(predicted - actual)) AS total_MAE_kW, count(*) AS n_steps FROM slots GROUP BY 1)"""]
 
 
@@ -415,21 +423,21 @@ def actual_vs_pred(spark, d):
 
 def _bt_sql_ctes():
     return [V.READINGS, V.load_cte("load", "region"),
-            f"""orig AS (SELECT b.item_id, w.window, b.last - (w.window - 1) * INTERVAL 1 DAY AS origin
+            f"""orig AS (SELECT b.item_id, w.wnd, b.last - (w.wnd - 1) * INTERVAL 1 DAY AS origin
   FROM (SELECT item_id, date_trunc('day', max(datetime_15min)) AS last, min(datetime_15min) AS f FROM load GROUP BY 1) b
-  JOIN (SELECT unnest(generate_series(1, {N_WINDOWS})) AS window) w ON b.f < b.last - (w.window - 1) * INTERVAL 1 DAY)""",
+  JOIN (SELECT unnest(generate_series(1, {N_WINDOWS})) AS wnd) w ON b.f < b.last - (w.wnd - 1) * INTERVAL 1 DAY)""",
             V.grid_cte("grid", "orig"), V.hist_mean_cte("hm", "orig", "load"),
             V.seasonal_pred_cte("p1", "grid", "load", "hm", 1), V.seasonal_pred_cte("p7", "grid", "load", "hm", 7),
             """bt AS (
-  SELECT 'SeasonalNaive' AS model, o.window, p.item_id, p.datetime_15min, p.prediction, l.active_kw AS actual
+  SELECT 'SeasonalNaive' AS model, o.wnd, p.item_id, p.datetime_15min, p.prediction, l.active_kw AS actual
   FROM p1 p JOIN orig o USING (item_id, origin)
   JOIN load l ON l.item_id = p.item_id AND l.datetime_15min = p.datetime_15min
   UNION ALL
-  SELECT 'SeasonalNaive672', o.window, p.item_id, p.datetime_15min, p.prediction, l.active_kw
+  SELECT 'SeasonalNaive672', o.wnd, p.item_id, p.datetime_15min, p.prediction, l.active_kw
   FROM p7 p JOIN orig o USING (item_id, origin)
   JOIN load l ON l.item_id = p.item_id AND l.datetime_15min = p.datetime_15min)""",
             """lb AS (SELECT w.model, -avg(w.w_mae) AS score_val, count(*) AS n_windows, i.n_items
-  FROM (SELECT model, window, avg(abs(actual - prediction)) AS w_mae FROM bt GROUP BY 1, 2) w
+  FROM (SELECT model, wnd, avg(abs(actual - prediction)) AS w_mae FROM bt GROUP BY 1, 2) w
   JOIN (SELECT model, count(DISTINCT item_id) AS n_items FROM bt GROUP BY 1) i ON w.model = i.model
   GROUP BY w.model, i.n_items)"""]
 
@@ -495,19 +503,22 @@ def quantile_forecast(spark, d):
 _PROFILE_READ = f"""sample AS (SELECT client_id, community_code, active_kw,
   CAST(hour(datetime_local) AS INTEGER) AS hour, CAST(dayofweek(datetime_local) IN (0, 6) AS INTEGER) AS is_weekend
   FROM readings WHERE datetime_local >= TIMESTAMP '{PROFILE_START}' AND datetime_local < TIMESTAMP '{PROFILE_END}')"""
-_PARTIALS = """parts AS (SELECT client_id, community_code, is_weekend, hour, avg(active_kw) AS avg_kw,
-  sum(active_kw) AS sum_kw, sum(active_kw * active_kw) AS sumsq_kw, max(active_kw) AS max_kw, count(*) AS n
+_PARTIALS = """parts AS (SELECT client_id, community_code, is_weekend, hour,
+  sum(CAST(active_kw AS DECIMAL(18,6))) AS sum_kw, sum(CAST(active_kw * active_kw AS DECIMAL(18,6))) AS sumsq_kw,
+  max(active_kw) AS max_kw, count(active_kw) AS n,
+  CAST(sum(CAST(active_kw AS DECIMAL(18,6))) AS DOUBLE) / count(active_kw) AS avg_kw
   FROM sample GROUP BY 1, 2, 3, 4)"""
 _STATS = """stats AS (
   SELECT r.client_id, r.community_code, s.mean_kw, s.std_kw, s.max_kw
   FROM (SELECT client_id, arg_min(community_code, (-rn, community_code)) AS community_code
         FROM (SELECT client_id, community_code, sum(n) AS rn FROM parts GROUP BY 1, 2) GROUP BY 1) r
-  JOIN (SELECT client_id, sum(sum_kw) / sum(n) AS mean_kw,
-          sqrt(greatest(sum(sumsq_kw) / sum(n) - pow(sum(sum_kw) / sum(n), 2), 0.0)) AS std_kw, max(max_kw) AS max_kw
+  JOIN (SELECT client_id, CAST(sum(sum_kw) AS DOUBLE) / sum(n) AS mean_kw,
+          sqrt(greatest(CAST(sum(sumsq_kw) AS DOUBLE) / sum(n) - pow(CAST(sum(sum_kw) AS DOUBLE) / sum(n), 2), 0.0)) AS std_kw,
+          max(max_kw) AS max_kw
         FROM parts GROUP BY 1) s ON r.client_id = s.client_id)"""
 _P95 = "p95 AS (SELECT client_id, quantile_disc(active_kw, 0.95) AS p95_kw FROM sample GROUP BY 1)"
 _PIVOT_SRC = """hourly AS (SELECT client_id, 'h' || lpad(CAST(hour AS VARCHAR), 2, '0') || CASE WHEN is_weekend = 1 THEN '_we' ELSE '_wd' END AS col_name,
-  sum(sum_kw) / sum(n) AS avg_kw FROM parts GROUP BY 1, 2)"""
+  CAST(sum(sum_kw) AS DOUBLE) / sum(n) AS avg_kw FROM parts GROUP BY 1, 2)"""
 _WIDE = "wide AS (SELECT client_id, " + ", ".join(
     f"coalesce(max(avg_kw) FILTER (WHERE col_name = '{c}'), 0) AS {c}" for c in PR.PIVOT_COLS) + " FROM hourly GROUP BY 1)"
 _PROFILE_CTES = [V.READINGS, _PROFILE_READ, _PARTIALS, _STATS, _P95, _PIVOT_SRC, _WIDE,
@@ -519,9 +530,12 @@ def _parts(spark, d):
     return PR.profile_partials(_readings(spark, d), PROFILE_START, PROFILE_END)
 
 
-@query("profile_partials", _w(_PROFILE_CTES[:3], "SELECT * FROM parts", ["avg_kw", "sum_kw", "sumsq_kw", "max_kw"]))
+@query("profile_partials", _w(_PROFILE_CTES[:3], """SELECT client_id, community_code, is_weekend, hour,
+  CAST(sum_kw AS DOUBLE) AS sum_kw, CAST(sumsq_kw AS DOUBLE) AS sumsq_kw, max_kw, n, avg_kw FROM parts""",
+                                 ["avg_kw", "sum_kw", "sumsq_kw", "max_kw"]))
 def profile_partials(spark, d):
-    return present(_parts(spark, d))
+    p = _parts(spark, d)
+    return present(p.withColumns({c: F.col(c).cast("double") for c in ("sum_kw", "sumsq_kw")}))
 
 
 @query("client_stats", _w(_PROFILE_CTES[:4], "SELECT * FROM stats", ["mean_kw", "std_kw", "max_kw"]))

@@ -111,7 +111,8 @@ def rounded(body: str, cols: list[str], digits: int = 6) -> str:
     """Round the named double columns of ``body``'s result."""
     if not cols:
         return body
-    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    scale = f"{10 ** digits}.0"
+    rep = ", ".join(f"floor({c} * {scale} + 0.5) / {scale} AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{body}\n) AS q"
 
 
@@ -131,7 +132,8 @@ def grid_cte(name: str, orig: str) -> str:
 
 def hist_mean_cte(name: str, orig: str, panel: str, target: str = "active_kw") -> str:
     return f"""{name} AS (
-  SELECT o.item_id, o.origin, avg(p.{target}) AS hist_mean
+  SELECT o.item_id, o.origin,
+         CAST(sum(CAST(p.{target} AS DECIMAL(18,6))) AS DOUBLE) / count(p.{target}) AS hist_mean
   FROM {orig} o JOIN {panel} p ON p.item_id = o.item_id AND p.datetime_15min < o.origin GROUP BY 1, 2)"""
 
 
