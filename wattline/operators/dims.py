@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; a larger side is returned
-    unchanged and Spark plans a shuffle join (AQE may still convert it).
+def small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Mark a dimension side for broadcast only behind a size check.
+
+    Default (``max_rows=None``): no hint.  Spark broadcasts the side only if
+    its size estimate is under ``spark.sql.autoBroadcastJoinThreshold`` and,
+    with AQE, re-checks the *measured* size at run time; anything larger is
+    joined by shuffle.  That costs no extra job.  With ``max_rows`` the row
+    count is checked explicitly (reads at most ``max_rows + 1`` rows) before
+    hinting, for sides whose estimate is unreliable.
     """
+    if max_rows is None:
+        return df
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

@@ -42,7 +42,7 @@ def _features(rows: DataFrame, panel: DataFrame, target: str, keys=("item_id",))
 class TreeForecaster:
     name = "DirectTabular"
 
-    def __init__(self, target: str = "active_kw", max_iter: int = 40, max_depth: int = 5, seed: int = 0):
+    def __init__(self, target: str = "active_kw", max_iter: int = 20, max_depth: int = 5, seed: int = 0):
         self.target, self.max_iter, self.max_depth, self.seed = target, max_iter, max_depth, seed
         self.model = None
         self.feature_names: list[str] = []
@@ -59,7 +59,10 @@ class TreeForecaster:
             GBTRegressor(featuresCol="features", labelCol=self.target, maxIter=self.max_iter,
                          maxDepth=self.max_depth, seed=self.seed),
         ])
-        self.model = pipe.fit(rows)
+        from wattline.session import cut_lineage
+
+        # the boosting loop rescans its input every round: materialise the feature rows once
+        self.model = pipe.fit(cut_lineage(rows))
         return self
 
     def transform(self, rows: DataFrame) -> DataFrame:
@@ -87,9 +90,12 @@ def permutation_importance(model: TreeForecaster, panel: DataFrame, eval_rows: D
     repeat) copies are unioned and scored in one ``transform`` and one
     aggregate.  Importance = mean over repeats, with its std.
     """
+    from wattline.session import cut_lineage
+
     rows, _ = _features(eval_rows.select(*keys, "datetime_15min", model.target), panel, model.target, keys)
     w_time = Window.partitionBy(*keys).orderBy("datetime_15min")
-    base = rows.withColumn("_i", F.row_number().over(w_time))
+    # materialise the feature rows once; every permuted copy below reads this
+    base = cut_lineage(rows.withColumn("_i", F.row_number().over(w_time)))
     copies = [base.withColumn("_feature", F.lit("__none__")).withColumn("_rep", F.lit(0))]
     for r in range(repeats):
         perm = base.select(*keys, "_i", F.row_number().over(
@@ -103,7 +109,7 @@ def permutation_importance(model: TreeForecaster, panel: DataFrame, eval_rows: D
     allc = copies[0]
     for c in copies[1:]:
         allc = allc.unionByName(c)
-    scored = model.transform(allc)
+    scored = model.transform(cut_lineage(allc))
     err = scored.groupBy("_feature", "_rep").agg(F.avg(F.abs(F.col(model.target) - F.col("prediction"))).alias("mae"))
     base_mae = err.where(F.col("_feature") == "__none__").select("mae").scalar()  # scalar subquery
     d = err.where(F.col("_feature") != "__none__").withColumn("_delta", F.col("mae") - base_mae)

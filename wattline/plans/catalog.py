@@ -661,8 +661,10 @@ def cluster_spread(spark, d):
 
 def _tree(spark, d):
     from wattline.operators.tree import TreeForecaster
+    from wattline.session import cut_lineage
 
-    panel = P.panel_for(spark, d, "region")
+    # the panel is read by the fit, by every lag lookup and by the scoring: materialise it once
+    panel = cut_lineage(P.panel_for(spark, d, "region"))
     return panel, TreeForecaster().fit(panel, cutoff=HOLDOUT)
 
 
