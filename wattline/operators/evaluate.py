@@ -51,6 +51,7 @@ def last_day_validation(panel: DataFrame, model, steps: int = 96, target: str =
     With a per-client target the forecast and the actuals are scaled by the
     realised ``n_clients`` (the reference's evaluation, D18 'actual').
     """
+    panel = fc.materialize(panel)
     hist = head_steps(panel, steps)
     val = tail_steps(panel, steps)
     orig = val.groupBy(*keys).agg(F.min("datetime_15min").alias("origin"))
@@ -75,6 +76,7 @@ def holdout_slots(panel: DataFrame, model, holdout_start, keys=("item_id",),
     Test days are the distinct days with rows at or after ``holdout_start``
     (T6); a day without history or without actuals is skipped.
     """
+    panel = fc.materialize(panel)
     test = panel.where(F.col("datetime_15min") >= fc._ts(holdout_start))
     days = test.select(*keys, floor_day("datetime_15min").alias("origin")).distinct()
     first = panel.groupBy(*keys).agg(F.min("datetime_15min").alias("_first"))
@@ -107,6 +109,7 @@ def backtest(panel: DataFrame, models: list, n_windows: int = 5, keys=("item_id"
     """each model forecasts each of the last ``n_windows`` days of every series
     from the rows before that day; rows ``(model, window, keys, ts, prediction, actual)``.
     """
+    panel = fc.materialize(panel)
     orig = fc.last_days_origins(panel, n_windows, keys)
     grid = fc.horizon_grid(orig, keys=keys).join(orig, [*keys, "origin"])
     act = panel.select(*keys, "datetime_15min", F.col(target).alias("actual"))

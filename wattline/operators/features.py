@@ -46,7 +46,15 @@ def lag_rows(df: DataFrame, col: str, lags: dict[str, int], keys=("item_id",),
 
 def lag_time(df: DataFrame, col: str, lags: dict[str, int], keys=("item_id",),
              ts: str = "datetime_15min", step_minutes: int = SLOT_MINUTES) -> DataFrame:
-    """Time-exact lags: one left equi-join per offset on ``(keys, ts)``."""
+    """Time-exact lags: one left equi-join per offset on ``(keys, ts)``.
+
+    With several offsets the input is materialised first so the raw source
+    behind it is scanned once (see ``forecast.materialize``).
+    """
+    if len(lags) > 1:
+        from wattline.session import cut_lineage
+
+        df = cut_lineage(df)
     base = df.select(*keys, ts, col)
     out = df
     for name, n in lags.items():

@@ -38,6 +38,23 @@ def _ts(value):
     return F.lit(_parse(value).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+# ---------------------------------------------------------------- materialisation
+
+def materialize(panel: DataFrame) -> DataFrame:
+    """Checkpoint the (small, aggregated) panel once into the shared checkpoint folder.
+
+    Forecast operators read the panel several times (origins, seasonal
+    sources, as-of partials, actuals) with different column sets, so Spark
+    cannot reuse one exchange and would rescan the raw readings for each read.
+    The panel has series x slots rows (it grows with the time span, not with
+    the raw volume), so writing it once is cheap and bounds the raw scans to one;
+    it also cuts the lineage a lost executor would have to recompute.
+    """
+    from wattline.session import cut_lineage
+
+    return cut_lineage(panel)
+
+
 # ---------------------------------------------------------------- origins / grid
 
 def origin_days(start, end) -> tuple[str, str]:
@@ -182,8 +199,9 @@ class WeightedEnsemble:
 
 # ---------------------------------------------------------------- rolling forecast
 
-def rolling_forecast(model, panel: DataFrame, start, end, keys=("item_id",)) -> DataFrame:
+def rolling_forecast(model, panel: DataFrame, start, end, keys=("item_id",), reuse: bool = True) -> DataFrame:
     """day-ahead forecasts for every day in ``[start, end)`` in one plan."""
+    panel = materialize(panel) if reuse else panel
     grid = horizon_grid(origins(panel, start, end, keys), start, end, keys)
     return model.predict(panel, grid, keys)
 
@@ -209,6 +227,7 @@ def per_client_forecast(model, panel: DataFrame, start, end, keys=("item_id",),
     ``rescale='last_known'`` uses the last count before the origin (no
     leakage, D18); ``'actual'`` uses the realised count of the slot.
     """
+    panel = materialize(panel)
     grid = horizon_grid(origins(panel, start, end, keys), start, end, keys)
     pred = model.predict(panel, grid, keys)
     if rescale == "actual":
@@ -231,6 +250,7 @@ def seasonal_with_mean(load: DataFrame, start, end, season: int = 7 * SLOTS_PER_
     """
     from wattline.operators.features import add_lags
 
+    load = materialize(load)
     lagged = add_lags(load, target, {"lag_7d": season}, mode=lag_mode)
     hist = load.where(F.col("datetime_15min") < _ts(start)).agg(F.avg(target)).scalar()
     return lagged.where(half_open("datetime_15min", _ts(start), _ts(end))).select(
