@@ -217,7 +217,8 @@ def lag_time(spark, d):
     return present(X.lag_time(l, "active_kw", {"lag_7d": 672}))
 
 
-def _tt_sql():
+def _tt_parts():
+    """CTEs ending in ``lagged`` and the UNION body of the six target transforms."""
     lags = """lagged AS (
   SELECT l.item_id, l.datetime_15min, l.n_clients, l.active_kw, l.avg_kw_per_client AS pc,
          a.avg_kw_per_client AS t_lag_24h, b.avg_kw_per_client AS t_lag_48h, c.avg_kw_per_client AS t_lag_week,
@@ -232,8 +233,35 @@ def _tt_sql():
     body = "\nUNION ALL ".join(
         f"SELECT item_id, datetime_15min, n_clients, '{a}' AS approach, {e} AS target, {r} AS rescale_by_n FROM lagged"
         for a, e, r in defs)
-    return _w([V.READINGS, V.load_cte("load", "region"), lags],
-              f"SELECT * FROM ({body}) u WHERE target IS NOT NULL AND NOT isnan(target)", ["target"])
+    return [V.READINGS, V.load_cte("load", "region"), lags], \
+        f"SELECT * FROM ({body}) u WHERE target IS NOT NULL AND NOT isnan(target)"
+
+
+def _tt_sql():
+    ctes, body = _tt_parts()
+    return _w(ctes, body, ["target"])
+
+
+def _approach_sql():
+    ctes, body = _tt_parts()
+    ctes = ctes + [
+        f"longt AS (SELECT approach || '#' || item_id AS item_id, approach, datetime_15min, n_clients, target, rescale_by_n FROM ({body}) t)",
+        f"""orig AS (SELECT b.item_id, w.wnd, b.last - (w.wnd - 1) * INTERVAL 1 DAY AS origin
+  FROM (SELECT item_id, date_trunc('day', max(datetime_15min)) AS last, min(datetime_15min) AS f FROM longt GROUP BY 1) b
+  JOIN (SELECT unnest(generate_series(1, {N_WINDOWS})) AS wnd) w ON b.f < b.last - (w.wnd - 1) * INTERVAL 1 DAY)""",
+        V.grid_cte("grid", "orig"), V.hist_mean_cte("hm", "orig", "longt", "target"),
+        V.seasonal_pred_cte("pred", "grid", "longt", "hm", 1, "target"),
+        """bt AS (SELECT p.item_id, o.wnd, abs(l.target - p.prediction) AS err
+  FROM pred p JOIN orig o ON o.item_id = p.item_id AND o.origin = p.origin
+  JOIN longt l ON l.item_id = p.item_id AND l.datetime_15min = p.datetime_15min)""",
+        """score AS (SELECT item_id, avg(w_mae) AS score_val
+  FROM (SELECT item_id, wnd, avg(err) AS w_mae FROM bt GROUP BY 1, 2) w GROUP BY 1)""",
+        """lastn AS (SELECT item_id, any_value(approach) AS approach, arg_max(n_clients, datetime_15min) AS n_last,
+  bool_or(rescale_by_n) AS rescale FROM longt GROUP BY 1)"""]
+    return _w(ctes, """SELECT l.approach,
+  sum(s.score_val * CASE WHEN l.rescale THEN l.n_last ELSE 1 END) AS spain_total_mae,
+  count(*) AS n_regions, bool_or(l.rescale) AS rescale_by_n
+FROM score s JOIN lastn l ON s.item_id = l.item_id GROUP BY 1""", ["spain_total_mae"])
 
 
 @query("target_transforms", _tt_sql())
@@ -698,7 +726,7 @@ def ensemble_weights(spark, d):
     return present(E.greedy_weights(_bt(spark, d), rounds=10))
 
 
-@query("approach_comparison")
+@query("approach_comparison", _approach_sql())
 def approach_comparison(spark, d):
     res = E.approach_comparison(X.target_transforms(_load(spark, d, "region")), N_WINDOWS)
     return present(res)
