@@ -68,10 +68,11 @@ def cluster_mix(labelled: DataFrame, by: str = "community_code", label: str = "c
 
 def cluster_spread(labelled: DataFrame, value: str = "mean_kw", label: str = "cluster") -> DataFrame:
     """Box statistics; whiskers are the extreme values within 1.5 IQR of the box."""
+    from wattline.operators.quantiles import exact_quantiles
+
     v = F.col(value)
-    q = labelled.groupBy(label).agg(
-        F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"),
-        F.percentile(v, 0.75).alias("q3"), F.count(v).alias("n"))
+    q = exact_quantiles(labelled, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=[label]).join(
+        labelled.groupBy(label).agg(F.count(v).alias("n")), label)
     j = labelled.select(label, value).join(q, label)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))

@@ -81,11 +81,19 @@ def missing_cells(df: DataFrame, exclude=("client_id", "community_code")) -> Dat
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
-    """Count, mean, sample std, min, exact quartiles (linear), max."""
+    """Count, mean, sample std, min, exact quartiles (linear), max.
+
+    Quartiles come from ``exact_quantiles`` (no single-task value map); both
+    one-row aggregates share the constant group key ``_g``.
+    """
+    from wattline.operators.quantiles import exact_quantiles
+
     c = F.col(col)
-    return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                  F.min(c).alias("min"), F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"),
-                  F.percentile(c, 0.75).alias("p75"), F.max(c).alias("max"))
+    g = df.withColumn("_g", F.lit(0))
+    q = exact_quantiles(g, col, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by=["_g"])
+    stats = g.groupBy("_g").agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+                                F.min(c).alias("min"), F.max(c).alias("max"))
+    return stats.join(q, "_g").select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def dataset_totals(readings: DataFrame) -> DataFrame:

@@ -16,14 +16,24 @@ from pyspark.sql import functions as F
 
 def exact_quantiles(df: DataFrame, value: str, levels: dict[str, float], by=(),
                     n_buckets: int = 64) -> DataFrame:
-    """One row per group with a column per ``levels`` entry (name -> q)."""
+    """One row per group with a column per ``levels`` entry (name -> q).
+
+    Without ``by`` the whole frame is one group keyed by a constant ``_g``
+    (dropped from the result); per-group edges and counts are joined back on
+    the group key, as for any grouping.
+    """
     by = list(by)
+    if not by:
+        return exact_quantiles(df.withColumn("_g", F.lit(0)), value, levels, ["_g"], n_buckets).drop("_g")
     v = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).cast("double").alias("_v"))
     # distinct values with multiplicity (map-side combined)
-    d = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    from wattline.session import cut_lineage
+
+    # read three times below (edges, bucket counts, in-bucket ranks): materialise once
+    d = cut_lineage(v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
     qs = [i / n_buckets for i in range(1, n_buckets)]
     edges = d.groupBy(*by).agg(F.percentile_approx("_v", qs, 10000).alias("_edges"), F.sum("_c").alias("_n"))
-    d = _attach(d, edges, by)
+    d = d.join(edges, by)
     d = d.withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
     # exact offsets: counts per (group, bucket), running sum over the (few) buckets of a group
     per = d.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
@@ -46,10 +56,3 @@ def exact_quantiles(df: DataFrame, value: str, levels: dict[str, float], by=(),
     frac = F.col("_h") - F.floor("_h")
     res = lo_hi.select(*by, "_name", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("_q"))
     return res.groupBy(*by).pivot("_name", list(levels)).agg(F.first("_q"))
-
-
-def _attach(d: DataFrame, edges: DataFrame, by: list) -> DataFrame:
-    """Attach per-group edges; with no grouping key the single edge row is a scalar subquery."""
-    if by:
-        return d.join(edges, by)
-    return d.withColumn("_edges", edges.select("_edges").scalar()).withColumn("_n", edges.select("_n").scalar())
