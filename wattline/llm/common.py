@@ -58,11 +58,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """``base`` to the 0 .. n-1, modulo 2**64."""
-    out = np.full(n, np.uint64(base), np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """``base`` to the 0 .. n-1, modulo 2**64, from a table that a worker keeps and doubles."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = np.full(1 << max(16, (n - 1).bit_length()), np.uint64(base), np.uint64)
+        have[0] = 1
+        have = _POWERS[base] = np.multiply.accumulate(have)
+    return have[:n]
 
 
 class SpanHash:
@@ -78,6 +84,11 @@ class SpanHash:
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start])
 
+    def every(self, size: int) -> np.ndarray:
+        """Hashes of all spans of ``size`` bytes, by start."""
+        n = max(len(self.prefix) - size, 0)
+        return mix((self.prefix[size:] - self.prefix[:n]) * self.inverse[:n]) if n else np.zeros(0, np.uint64)
+
 
 def fold_ascii(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, byte by byte; other bytes stay."""

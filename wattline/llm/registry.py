@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import fingerprint, mixing, neardup, packing, quality, tokencount, topk
+from wattline.llm import fingerprint, mixing, neardup, packing, quality, suffix, tokencount, topk
 from wattline.llm.common import read
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -28,6 +28,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_exact_top_k": op4_exact_top_k,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_temperature_mixing": op8_temperature_mixing,
     "op9_quality_classifier": op9_quality_classifier,
