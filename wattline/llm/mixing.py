@@ -136,11 +136,11 @@ def plan(tokens: DataFrame, entropy: float | None = None, repetition: float | No
 
 def apply(docs: DataFrame, mix: Mix, seed: int = 8) -> DataFrame:
     """``docs`` once per pass that takes them, with the columns of the plan prefixed ``mix_``."""
-    s = mix.sources.select(F.col("source").alias("mix_source"), "blocks", F.col("weight").alias("mix_weight"))
+    s = mix.sources.select(F.col("source").alias("mix_source"), F.col("blocks").alias("mix_blocks"), F.col("weight").alias("mix_weight"))
     b = mix.passes.select(F.col("source").alias("mix_source"), F.col("block").alias("mix_block"), F.col("pass").alias("mix_pass"),
                           F.col("block_rank").alias("mix_block_rank"), F.col("at").alias("mix_at"), F.col("cutoff").alias("mix_cutoff"))
     d = docs.withColumn("mix_source", source_key()).join(s, "mix_source").withColumn(
-        "mix_block", F.pmod(block_key(seed), F.col("blocks")).cast("int")).drop("blocks")
+        "mix_block", F.pmod(block_key(seed), F.col("mix_blocks")).cast("int")).drop("mix_blocks")
     key = F.xxhash64(F.lit(seed), F.col("mix_pass"), F.col("doc_id"))
     return d.join(b, ["mix_source", "mix_block"]).where(F.col("mix_cutoff").isNull() | (key < F.col("mix_cutoff"))).drop("mix_cutoff")
 

@@ -262,3 +262,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     out = sig.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of every component, the one that names it; of its repeated rows, one."""
+    kept = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return rows.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text"]).drop("_text")

@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -195,30 +194,38 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     return Classifier(posterior, share, w, b)
 
 
-def judge(docs: DataFrame, model: Classifier, least: float = 0.5, *carry: str) -> DataFrame:
-    """votes, posterior, score and keep for every document, and the columns named in ``carry``.
+def _scores(model: Classifier, values: list[bytes], least: float) -> tuple[list[str], list[float], np.ndarray, np.ndarray]:
+    """Votes, posterior, score and decision: good scores stay, and so do texts on which every labeller abstains."""
+    v = votes_of(values)
+    names = pattern(v)
+    x = np.stack(list(features_of(values, v)))
+    score = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -500, 500)))
+    return names, [model.posterior.get(p, model.share) for p in names], score, (score >= least) | (v < 0).all(axis=1)
 
-    Kept are documents with a score of ``least`` or more, and those on which every labeller abstains.
-    """
-    schema = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry).schema
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_whole"), *carry)
+
+def judge(docs: DataFrame, model: Classifier, least: float = 0.5) -> DataFrame:
+    """votes, posterior, score and keep for every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, values in _batches(batches):
+            names, post, score, keep = _scores(model, values, least)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names), pa.array(post, pa.float64()), pa.array(score), pa.array(keep)],
+                                             names=["doc_id", "votes", "posterior", "score", "keep"])
+
+    return texts(docs).mapInArrow(run, OUT)
+
+
+def keep_good(docs: DataFrame, model: Classifier, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, all columns as they are."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [t.encode() for t in b.column(1).to_pylist()]
+            values = [(t or "").encode() for t in b.column(at).to_pylist()]
             for lo, hi in chunks(values):
-                v = votes_of(values[lo:hi])
-                names = pattern(v)
-                x = np.stack(list(features_of(values[lo:hi], v)))
-                score = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -500, 500)))
-                post = [model.posterior.get(p, model.share) for p in names]
-                part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(names), pa.array(post, pa.float64()), pa.array(score), pa.array((score >= least) | (v < 0).all(axis=1)), *part.columns[2:]],
-                    names=["doc_id", "votes", "posterior", "score", "keep", *carry])
-
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in schema.fields[1:])
-    return source.mapInArrow(run, OUT + more)
+                yield b.slice(lo, hi - lo).filter(pa.array(_scores(model, values[lo:hi], least)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:

@@ -265,6 +265,25 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ..
     return some.unionByName(rest)
 
 
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with the text left and its n_chars; a character that lost one of its bytes goes with it."""
+    names = docs.columns
+    found = repeated_strings(docs.withColumn("text", F.coalesce("text", F.lit(""))), length, tuple(c for c in names if c not in ("doc_id", "text")))
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = [kept_bytes(t.encode(), s).decode(errors="ignore") if s is None or s else t
+                    for t, s in zip(b.column(names.index("text")).to_pylist(), b.column(len(names)).to_pylist())]
+            cols = list(b.columns[:len(names)])
+            cols[names.index("text")] = pa.array(kept, cols[names.index("text")].type)
+            if "n_chars" in names:
+                cols[names.index("n_chars")] = pa.array(list(map(len, kept)), cols[names.index("n_chars")].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return found.select(*names, "spans").mapInArrow(run, schema)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``.
 
