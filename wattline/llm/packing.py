@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,56 +30,121 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
+class _Slots(dict):
+    """Numbers words in the order in which they are first looked up; ``new`` lists the latest."""
+
+    def __init__(self):
+        super().__init__({"": 0})
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordIds:
     """Token ids of whole texts, encoding each distinct word once.
 
     The vocabulary's pattern drops white space and matches nothing across it, so
-    the ids of a text are the ids of its space-separated words in order.  The
-    memory of words is emptied when it holds ``most`` of them.
+    the ids of a text are the ids of its space-separated words in order.  It also
+    ignores case and ends a run of letters at a full stop or comma, so such words
+    are put together from their parts.  The memory of words is emptied when it
+    holds ``most`` of them.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self._reset()
 
     def _reset(self) -> None:
-        self.slot: dict[str, int] = {"": 0}
-        self.flat, self.at, self.n = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.slot = _Slots()
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0  # ids of all words; room doubles
+        self.at, self.n, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 1
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        """A run of Latin-1 letters is one merge unit; anything else goes through the whole tokenizer."""
+        out: list = [None] * len(words)
+        rest, merge = [], self.tokenizer.model.tokenize
+        for i, w in enumerate(words):
+            if w.isalpha() and max(w) < "\u0100":
+                unit = w if w.isascii() else "".join(map(_BYTE_CHARS.__getitem__, w.encode()))
+                out[i] = [t.id for t in merge(unit)]
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.slot) + len(words) > self.most and len(self.slot) > 1:
-            self._reset()
-        new = [w for w in words if w not in self.slot]
-        got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        self.slot.update(zip(new, range(len(self.n), len(self.n) + len(new))))
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
-        self.n = np.concatenate([self.n, n])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum()))])
+    @staticmethod
+    def _parts(word: str) -> tuple[str, str]:
+        body, end = (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].isalpha() else (word, "")
+        return (body.lower() if body.isalpha() and max(body) < "\u0100" else body), end
+
+    def _learn(self) -> None:
+        """Ids of the words that were looked up since the last call."""
+        new, self.slot.new = self.slot.new, []
+        parts = [self._parts(w) for w in new]
+        todo = [p for p in {p for pair in parts for p in pair if p} if self.slot.get(p, self.known) >= self.known]
+        unit = dict(zip(todo, self._encode(todo)))  # parts that are words seen before are taken from there
+        ids = []
+        for pair in parts:
+            got: list[int] = []
+            for p in pair:
+                if p in unit:
+                    got += unit[p]
+                elif p:
+                    k = self.slot[p]
+                    got += self.flat[self.at[k]:self.at[k] + self.n[k]].tolist()
+            ids.append(got)
+        n = np.fromiter(map(len, ids), np.int32, len(ids))
+        end = self.used + int(n.sum())
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.slot) > len(self.n):
+            self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.zeros_like(self.n)])
+        self.flat[self.used:end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - self.used)
+        self.n[self.known:len(self.slot)] = n
+        self.at[self.known:len(self.slot)] = self.used + np.cumsum(n) - n
+        self.used, self.known = end, len(self.slot)
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in batch]
-        missing = set().union(*split).difference(self.slot)
-        if missing:
-            if len(self.slot) + len(missing) > self.most:
-                missing = set().union(*split)
-            self._learn(missing)
-        out = []
-        for words in split:
-            s = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-            n = self.n[s]
-            end = np.cumsum(n)
-            out.append(self.flat[np.repeat(self.at[s] - end + n, n) + np.arange(end[-1])])
-        return out
+        if len(self.slot) > self.most:
+            self._reset()
+        words = [t.replace("\n", " ").split(" ") for t in batch]
+        slots = [np.fromiter(map(self.slot.__getitem__, w), np.int64, len(w)) for w in words]
+        self._learn()
+        flat = np.concatenate(slots)
+        n = self.n[flat].astype(np.int64)
+        end = np.cumsum(n)
+        ids = self.flat[np.repeat(self.at[flat] - end + n, n) + np.arange(end[-1])]
+        cut = end[np.cumsum([len(s) for s in slots]) - 1]
+        return np.split(ids, cut[:-1])
+
+
+def _byte_chars() -> list[str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per worker process, so that the next task finds the words of the last."""
+    return WordIds(path)
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, last_id: int = 0) -> DataFrame:
     """Token pieces of whole texts: ids of the text, then ``last_id``; only longer documents are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for b in batches:
             ids, text = b.column(0).to_pylist(), b.column(1).to_pylist()
             for a in range(0, len(ids), 256):
