@@ -17,7 +17,7 @@ def test_exact_quantiles_match_numpy_with_hot_group(spark):
         rows += [(f"g{g}", float(x)) for x in vals]
     df = spark.createDataFrame(rows, "g string, v double")
     levels = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p95": 0.95}
-    got = {r.g: r for r in exact_quantiles(df, "v", levels, by=["g"], n_buckets=16).collect()}
+    got = {r.g: r for r in exact_quantiles(df, "v", levels, by=["g"], n_ranges=16).collect()}
     for g, vals in {"hot": hot, **others}.items():
         for name, q in levels.items():
             assert getattr(got[g], name) == pytest.approx(float(np.quantile(vals, q)), abs=1e-9)

@@ -165,3 +165,116 @@ def test_left_joins_keep_row_count(spark):
 
     load = P.load_by(__import__("wattline.sources.tables", fromlist=["x"]).readings(spark, SF01), "region")
     assert P.panel_for(spark, SF01, "region").count() == load.count()
+
+
+def _wavy(spark, days=20, items=("S",)):
+    base = T(2024, 1, 1)
+    rows = [(s, base + dt.timedelta(minutes=15 * i), float((i * 7 + 13 * k) % 96) + i // 96, 5 + k)
+            for k, s in enumerate(items) for i in range(96 * days)]
+    return spark.createDataFrame(rows, "item_id string, datetime_15min timestamp_ntz, active_kw double, n_clients int")
+
+
+def test_quantiles_ensemble_and_tree_ignore_rows_at_or_after_the_origin(spark):  # D17, F8, F12, F13
+    from wattline.operators import evaluate as EV
+    from wattline.operators.tree import TreeForecaster
+
+    df = _wavy(spark)
+    changed = df.withColumn("active_kw", F.when(F.col("datetime_15min") >= T(2024, 1, 15), F.lit(6e5)).otherwise(F.col("active_kw")))
+    forecasts = {
+        "quantile": lambda p: EV.quantile_forecast(p, FC.SeasonalNaive(96), "2024-01-15", "2024-01-16", 5),
+        "ensemble": lambda p: FC.rolling_forecast(FC.WeightedEnsemble([FC.SeasonalNaive(96), FC.SeasonalNaive(672)], [0.5, 0.5]), p, "2024-01-15", "2024-01-16"),
+        "tree": lambda p: FC.rolling_forecast(TreeForecaster(max_iter=3).fit(p, cutoff="2024-01-15"), p, "2024-01-15", "2024-01-16"),
+    }
+    for name, f in forecasts.items():
+        a, b = (sorted(tuple(r) for r in f(p).collect()) for p in (df, changed))
+        assert len(a) == 96 and a == b, name
+
+
+def test_quantiles_use_the_days_before_each_origin(spark):  # F13
+    from wattline.operators import evaluate as EV
+
+    rows = EV.quantile_forecast(_wavy(spark), FC.SeasonalNaive(96), "2024-01-15", "2024-01-17", 5).collect()
+    assert len(rows) == 192
+    for r in rows:  # the load rises by 1 a day, so every residual is 1
+        assert r["q10"] == pytest.approx(r["prediction"] + 1) and r["q90"] == pytest.approx(r["prediction"] + 1)
+
+
+@pytest.mark.parametrize("loads", [[0.0004, 0.0006], [0.0005] * 3, [5e6, 5e6 + 1, 5e6 + 2], [2.0e6], [1e-7, 3e-7]])
+def test_std_of_small_and_large_loads(spark, loads):  # A8, A9
+    import statistics
+
+    r = readings(spark, [(1, T(2024, 1, 1, i), "A", x) for i, x in enumerate(loads)])
+    s = PR.client_stats(PR.profile_partials(r)).first()
+    assert s.std_kw == pytest.approx(statistics.pstdev(loads), rel=1e-6, abs=1e-15)
+
+
+def test_exact_p95_of_many_readings(spark):  # A10
+    rnd = __import__("random").Random(3)
+    base = T(2024, 1, 1)
+    rows = [(c, base + dt.timedelta(minutes=i), "A", round(rnd.gammavariate(2, 10), 4)) for c in range(3) for i in range(3000)]
+    got = {r.client_id: r.p95_kw for r in PR.client_p95_exact(readings(spark, rows)).collect()}
+    for c in range(3):
+        values = sorted(x for cc, _, _, x in rows if cc == c)
+        assert got[c] == values[-(-95 * len(values) // 100) - 1]
+
+
+@pytest.mark.parametrize("series", [40, 300])
+def test_tree_takes_any_number_of_series(spark, series):  # F8
+    from wattline.operators.tree import TreeForecaster
+
+    df = spark.range(series).selectExpr("concat('R', id) item_id", "id").selectExpr(
+        "item_id", "explode(sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-03 23:45:00', interval 6 hours)) datetime_15min", "double(id) active_kw")
+    model = TreeForecaster(max_iter=2).fit(df, cutoff="2024-01-03")
+    pred = FC.rolling_forecast(model, df, "2024-01-03", "2024-01-04")
+    assert pred.select("item_id").distinct().count() == series
+
+
+def test_missing_covariates_are_flagged(spark):  # F8
+    from wattline.operators.tree import TreeForecaster
+
+    df = _wavy(spark, 4).withColumn("temp_forecast", F.when(F.hour("datetime_15min") < 12, F.lit(3.0)))
+    m = TreeForecaster(max_iter=1).fit(df)
+    rows, names = m.features(df.select("item_id", "datetime_15min"), df)
+    assert "has_temp_forecast" in names
+    assert {(r.temp_forecast, r.has_temp_forecast) for r in rows.select("temp_forecast", "has_temp_forecast").collect()} == {(3.0, 1), (0.0, 0)}
+    ahead = spark.createDataFrame([("S", T(2024, 1, 9), 7.0)], "item_id string, datetime_15min timestamp_ntz, temp_forecast double")
+    grid = ahead.select("item_id", "datetime_15min").withColumn("origin", F.col("datetime_15min"))
+    assert m.predict(df, grid, covariates=ahead).count() == 1  # a day without any load row
+
+
+def test_seasonal_grid_beyond_the_data(spark):  # F1
+    load = _wavy(spark, 14)
+    out = FC.seasonal_grid(load, "2024-02-05", "2024-02-12").collect()
+    assert len(out) == 672 and len({r.datetime_15min for r in out}) == 672 and all(r.prediction is not None for r in out)
+
+
+def test_holidays_span_the_data(spark):  # S3
+    from conftest import SF01
+    from wattline.sources import tables as TB
+
+    last = spark.read.parquet(f"{SF01}/events.parquet").agg(F.to_date(F.max("ts"))).first()[0]
+    days = [r[0].date() for r in TB.holidays(spark, SF01).select("date").distinct().collect()]
+    assert max(days) == last
+
+
+def test_refit_and_learned_ensemble(spark):  # F10, F11, F12
+    from wattline.operators import evaluate as EV
+    from wattline.operators.tree import TreeForecaster
+
+    panel = _wavy(spark, 12, ("S", "R"))
+    models = [FC.SeasonalNaive(96), FC.SeasonalNaive(672), TreeForecaster(max_iter=2)]
+    bt = EV.backtest(panel, models, 2, refit_every=1)
+    board = {r.model: r for r in EV.leaderboard(bt).collect()}
+    assert set(board) == {m.name for m in models} and all(r.n_windows == 2 and r.n_items == 2 for r in board.values())
+    weights = EV.greedy_weights(bt, rounds=3)
+    ens = EV.learned_ensemble(models, weights)
+    assert sum(ens.weights) == pytest.approx(1) and {m.name for m in ens.members} <= set(board)
+
+
+def test_time_range_reaches_the_scan(spark):  # P5
+    from conftest import SF01
+    from wattline.functions.timefn import raw_range
+    from wattline.sources import tables as TB
+
+    plan = raw_range(TB.readings(spark, SF01), "datetime_local", "2024-01-20")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(ts" in plan

@@ -25,10 +25,11 @@ def null_or_nan(col) -> Column:
     return c.isNull() | F.isnan(c)
 
 
-# Measures are summed as DECIMAL(18,6) (sum type DECIMAL(28,6)): the total is then
+# Measures are summed as DECIMAL(28,10) (sum type DECIMAL(38,10)): the total is then
 # independent of partitioning and task order, so a retried or re-planned job gives
-# bit-identical means.  Values need |x| < 1e12.
-EXACT = "decimal(18,6)"
+# bit-identical means.  Values need |x| < 1e18, sums |x| < 1e28; digits past the tenth
+# are rounded.  Squares are never summed this way (see ``profiles.spread``).
+EXACT = "decimal(28,10)"
 
 
 def exact_sum(col) -> Column:

@@ -52,11 +52,6 @@ def add_minutes(col: str | Column, minutes) -> Column:
     return _c(col) + F.make_dt_interval(F.lit(0), F.lit(0), m)
 
 
-def add_days(col: str | Column, days) -> Column:
-    d = days if isinstance(days, Column) else F.lit(int(days))
-    return _c(col) + F.make_dt_interval(d)
-
-
 def _ts_lit(value) -> Column:
     if isinstance(value, Column):
         return value

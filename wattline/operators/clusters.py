@@ -19,35 +19,46 @@ def feature_columns(df: DataFrame, exclude=("client_id", "community_code")) -> l
 
 
 def scale(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Drop incomplete rows (P7), assemble and standardise to ``features``."""
+    """Drop incomplete rows (P7), assemble and standardise to ``features``.
+
+    The client table (one row per client) is written once, so that the scaler, the
+    estimators and the output do not scan the readings again.
+    """
+    from wattline.session import cut_lineage
+
     cols = cols or feature_columns(df)
-    clean = df.dropna("any", subset=cols)
+    clean = cut_lineage(df.dropna("any", subset=cols))
     vec = VectorAssembler(inputCols=cols, outputCol="raw", handleInvalid="skip").transform(clean)
     model = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(vec)
     return model.transform(vec).drop("raw")
 
 
-def sweep_k(scaled: DataFrame, ks=range(2, 11), seed: int = 42) -> DataFrame:
+def best_of(scaled: DataFrame, k: int, seed: int, starts: int):
+    """The k-means model of least cost out of ``starts`` seeded ones (the first on a tie)."""
+    models = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(scaled) for i in range(starts)]
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
+def sweep_k(scaled: DataFrame, ks=range(2, 11), seed: int = 42, starts: int = 1) -> DataFrame:
     """Inertia (training cost) and silhouette (squared Euclidean) per k."""
     scaled = scaled.select("client_id", "features").cache()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     rows = []
     for k in ks:
-        model = KMeans(k=k, seed=seed, featuresCol="features").fit(scaled)
+        model = best_of(scaled, k, seed, starts)
         sil = ev.evaluate(model.transform(scaled)) if k > 1 else None
         rows.append((int(k), float(model.summary.trainingCost), float(sil)))
     scaled.unpersist()
     return scaled.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
-def fit_clusters(scaled: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
+def fit_clusters(scaled: DataFrame, k: int = 4, seed: int = 42, starts: int = 10) -> DataFrame:
     """C4: final k-means labels, renumbered by cluster size (largest = 0) for stable ids."""
-    model = KMeans(k=k, seed=seed, featuresCol="features").fit(scaled)
-    pred = model.transform(scaled)
+    pred = best_of(scaled.cache(), k, seed, starts).transform(scaled)
     sizes = pred.groupBy("prediction").count()
     rank = sizes.withColumn("cluster", F.row_number().over(
         Window.orderBy(F.desc("count"), F.asc("prediction"))) - 1)  # k rows only
-    return pred.join(F.broadcast(rank.select("prediction", "cluster")), "prediction").drop("prediction")
+    return pred.join(rank.select("prediction", "cluster"), "prediction").drop("prediction")
 
 
 def project_2d(scaled: DataFrame) -> DataFrame:

@@ -1,30 +1,14 @@
-"""Small-dimension joins with a checked size."""
+"""Dimension lookups.
+
+No side carries a broadcast hint: Spark broadcasts one only if its size, measured again at
+run time by AQE, is under ``spark.sql.autoBroadcastJoinThreshold``; a larger one is shuffled.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Above this many rows a dimension is joined by shuffle instead of broadcast.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Mark a dimension side for broadcast only behind a size check.
-
-    Default (``max_rows=None``): no hint.  Spark broadcasts the side only if
-    its size estimate is under ``spark.sql.autoBroadcastJoinThreshold`` and,
-    with AQE, re-checks the *measured* size at run time; anything larger is
-    joined by shuffle.  That costs no extra job.  With ``max_rows`` the row
-    count is checked explicitly (reads at most ``max_rows + 1`` rows) before
-    hinting, for sides whose estimate is unreliable.
-    """
-    if max_rows is None:
-        return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def map_codes(df: DataFrame, dim: DataFrame, key: str, value: str,
               out: str | None = None, unmapped: str = "drop") -> DataFrame:
     """Look ``df[key]`` up in ``dim(key, value)``.
@@ -34,7 +18,7 @@ def map_codes(df: DataFrame, dim: DataFrame, key: str, value: str,
     ``'label'`` keeps them as the string ``unmapped``.
     """
     out = out or value
-    lookup = small(dim.select(F.col(key).alias("_k"), F.col(value).alias(out)).distinct())
+    lookup = dim.select(F.col(key).alias("_k"), F.col(value).alias(out)).distinct()
     how = "inner" if unmapped == "drop" else "left"
     res = df.join(lookup, df[key] == F.col("_k"), how).drop("_k")
     if unmapped == "label":

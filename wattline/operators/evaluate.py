@@ -105,19 +105,31 @@ def holdout_summary(daily: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- backtests
 
 def backtest(panel: DataFrame, models: list, n_windows: int = 5, keys=("item_id",),
-             target: str = "active_kw") -> DataFrame:
+             target: str = "active_kw", refit_every: int | None = None) -> DataFrame:
     """each model forecasts each of the last ``n_windows`` days of every series
     from the rows before that day; rows ``(model, window, keys, ts, prediction, actual)``.
+
+    A model is fitted on the rows before the earliest origin of the windows it forecasts:
+    of all of them, or with ``refit_every`` of so many at a time.
     """
     panel = fc.materialize(panel)
     orig = fc.last_days_origins(panel, n_windows, keys)
-    grid = fc.horizon_grid(orig, keys=keys).join(orig, [*keys, "origin"])
+    grid = fc.horizon_grid(orig, keys=(*keys, "window"))
     act = panel.select(*keys, "datetime_15min", F.col(target).alias("actual"))
     parts = []
+    step = refit_every or n_windows
     for m in models:
-        p = m.predict(panel, grid, keys).join(act, [*keys, "datetime_15min"])
-        parts.append(p.select(F.lit(m.name).alias("model"), "window", *keys, "datetime_15min",
-                              "prediction", "actual"))
+        fitted = getattr(m, "needs_fit", hasattr(m, "model"))
+        for lo in range(1, n_windows + 1, step) if fitted else [1]:
+            part = grid
+            if fitted:
+                part = grid.where(F.col("window").between(lo, lo + step - 1))
+                first = orig.where(F.col("window").between(lo, lo + step - 1)).agg(F.min("origin")).first()[0]
+                if first is None:
+                    continue
+                m.fit(panel, cutoff=first, keys=keys)
+            p = m.predict(panel, part, keys).join(act, [*keys, "datetime_15min"])
+            parts.append(p.select(F.lit(m.name).alias("model"), "window", *keys, "datetime_15min", "prediction", "actual"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -145,17 +157,31 @@ def regional_bound(lb: DataFrame) -> DataFrame:
     return lb.select("model", (F.abs("score_val") * F.col("n_items")).alias("sum_region_mae"))
 
 
-def quantile_forecast(bt: DataFrame, pred: DataFrame, levels=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9),
-                      keys=("item_id",)) -> DataFrame:
-    """mean forecast plus exact residual quantiles per (series, slot of day) from a backtest."""
-    from wattline.functions.timefn import slot_of_day
+def quantile_forecast(panel: DataFrame, model, start, end, n_windows: int = 5,
+                      levels=(0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9),
+                      keys=("item_id",), target: str = "active_kw") -> DataFrame:
+    """day-ahead forecasts with exact residual quantiles per (series, slot of day).
+
+    The residuals of an origin are those of the forecasts made for the ``n_windows`` days
+    before it, so nothing at or after the origin is read.  One rolling forecast over the
+    longer span serves both; each day's residuals go to the origins that look back on it.
+    """
+    from wattline.functions.timefn import add_minutes, slot_of_day
 
-    r = bt.select(*keys, slot_of_day("datetime_15min").alias("slot"),
-                  (F.col("actual") - F.col("prediction")).alias("resid"))
-    q = r.groupBy(*keys, "slot").agg(F.percentile("resid", list(levels)).alias("_q"))
-    p = pred.withColumn("slot", slot_of_day("datetime_15min")).join(q, [*keys, "slot"], "left")
+    panel = fc.materialize(panel)
+    first = fc.origin_days(start, end)[0]
+    early = (fc._parse(first) - fc._dt.timedelta(days=n_windows)).isoformat(sep=" ")
+    pred = fc.rolling_forecast(model, panel, early, end, keys, reuse=False).select(
+        *keys, "origin", "datetime_15min", "prediction", slot_of_day("datetime_15min").alias("slot"))
+    act = panel.select(*keys, "datetime_15min", F.col(target).alias("actual"))
+    resid = pred.join(act, [*keys, "datetime_15min"]).select(
+        *keys, "slot", (F.col("actual") - F.col("prediction")).alias("resid"),
+        F.explode(F.sequence(F.lit(1), F.lit(n_windows))).alias("_d"), F.col("origin").alias("_day"))
+    resid = resid.withColumn("origin", add_minutes("_day", F.col("_d") * 24 * 60))
+    q = resid.groupBy(*keys, "origin", "slot").agg(F.percentile("resid", list(levels)).alias("_q"))
+    out = pred.where(half_open("datetime_15min", start, end)).join(q, [*keys, "origin", "slot"], "left")
     cols = {f"q{int(round(lv * 100)):02d}": F.col("prediction") + F.col("_q")[i] for i, lv in enumerate(levels)}
-    return p.withColumns(cols).drop("_q", "slot")
+    return out.withColumns(cols).drop("_q", "slot")
 
 
 def greedy_weights(bt: DataFrame, rounds: int = 10, keys=("item_id",)) -> DataFrame:
@@ -182,24 +208,41 @@ def greedy_weights(bt: DataFrame, rounds: int = 10, keys=("item_id",)) -> DataFr
     return spark.createDataFrame([(n, counts[n] / rounds) for n in names], "model string, weight double")
 
 
-def approach_comparison(long_targets: DataFrame, n_windows: int = 5) -> DataFrame:
-    """F7 + L3: score every target transform with a seasonal-naive backtest per region,
-    rescale by the last client count where the target is per client, sum, rank."""
+def learned_ensemble(models: list, weights: DataFrame) -> fc.WeightedEnsemble:
+    """the ensemble of the models to which ``greedy_weights`` gave weight (one row per model reaches the driver)."""
+    given = {r["model"]: r["weight"] for r in weights.collect()}
+    used = [m for m in models if given.get(m.name, 0.0) > 0]
+    return fc.WeightedEnsemble(used, [given[m.name] for m in used])
+
+
+def approach_scores(long_targets: DataFrame, n_windows: int = 5, models: list | None = None) -> DataFrame:
+    """F7 per (approach, series): the error of its best model over a backtest, times the last
+    known client count where the target is per client (``proxy``)."""
     keys = ("approach", "item_id")
-    panel = long_targets.select(*keys, "datetime_15min", "target", "n_clients", "rescale_by_n")
-    model = fc.SeasonalNaive(target="target")
-    bt = backtest(panel, [model], n_windows, keys, target="target")
-    per = bt.groupBy("approach", "item_id", "window").agg(
-        F.avg(F.abs(F.col("actual") - F.col("prediction"))).alias("w_mae")
-    ).groupBy("approach", "item_id").agg(F.avg("w_mae").alias("score_val"))
+    panel = fc.materialize(long_targets.select(*keys, "datetime_15min", "target", "n_clients", "rescale_by_n"))
+    bt = backtest(panel, models or [fc.SeasonalNaive(target="target")], n_windows, keys, target="target")
+    per = bt.groupBy("approach", "item_id", "model", "window").agg(F.avg(F.abs(F.col("actual") - F.col("prediction"))).alias("w_mae"))
+    per = per.groupBy("approach", "item_id", "model").agg(F.avg("w_mae").alias("score_val"))
+    best = per.groupBy("approach", "item_id").agg(F.min(F.struct("score_val", "model")).alias("b")).select(
+        "approach", "item_id", F.col("b.model").alias("model"), F.col("b.score_val").alias("score_val"))
     last = panel.groupBy("approach", "item_id").agg(
-        F.max_by("n_clients", "datetime_15min").alias("n_clients_last"),
-        F.first("rescale_by_n").alias("rescale_by_n"))
-    per = per.join(last, ["approach", "item_id"]).withColumn(
-        "proxy", F.col("score_val") * F.when(F.col("rescale_by_n"), F.col("n_clients_last")).otherwise(F.lit(1)))
-    return per.groupBy("approach").agg(
-        F.sum("proxy").alias("spain_total_mae"), F.count(F.lit(1)).alias("n_regions"),
-        F.first("rescale_by_n").alias("rescale_by_n"))
+        F.max_by("n_clients", "datetime_15min").alias("n_clients_last"), F.bool_or("rescale_by_n").alias("rescale_by_n"))
+    scale = F.when(F.col("rescale_by_n"), F.col("n_clients_last")).otherwise(F.lit(1))
+    return best.join(last, ["approach", "item_id"]).withColumn("proxy", F.col("score_val") * scale)
+
+
+def approach_comparison(long_targets: DataFrame, n_windows: int = 5, models: list | None = None) -> DataFrame:
+    """F7 + L3: the approaches' errors summed over series, ranked (six rows; ties by label)."""
+    total = approach_scores(long_targets, n_windows, models).groupBy("approach").agg(
+        F.sum("proxy").alias("spain_total_mae"), F.count(F.lit(1)).alias("n_regions"), F.bool_or("rescale_by_n").alias("rescale_by_n"))
+    return total.withColumn("rank", F.row_number().over(Window.orderBy("spain_total_mae", "approach"))).orderBy("rank")
+
+
+def best_worst_targets(scores: DataFrame) -> DataFrame:
+    """L3: per series the approach of least and of largest ``proxy`` (ties by label)."""
+    return scores.groupBy("item_id").agg(
+        F.min_by("approach", F.struct("proxy", "approach")).alias("best_approach"), F.min("proxy").alias("best_mae"),
+        F.max_by("approach", F.struct("proxy", "approach")).alias("worst_approach"), F.max("proxy").alias("worst_mae"))
 
 
 def actual_vs_pred(pred_total: DataFrame, actual: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def hist_mean_asof(panel: DataFrame, orig: DataFrame, target: str, keys=("item_i
     """Mean of ``target`` over rows strictly before each origin (F1 fallback, W4)."""
     daily = panel.groupBy(*keys, floor_day(ts).alias("day")).agg(
         exact_sum(target).alias("_s"), F.count(target).alias("_n"))
-    a = _asof_daily(daily, orig, keys, {"_s": "decimal(28,6)", "_n": "bigint"}, "sum")
+    a = _asof_daily(daily, orig, keys, {"_s": "decimal(38,10)", "_n": "bigint"}, "sum")
     return a.select(*keys, "origin", exact_mean("_s", "_n").alias("hist_mean"))
 
 
@@ -255,3 +255,21 @@ def seasonal_with_mean(load: DataFrame, start, end, season: int = 7 * SLOTS_PER_
     hist = load.where(F.col("datetime_15min") < _ts(start)).agg(F.avg(target)).scalar()
     return lagged.where(half_open("datetime_15min", _ts(start), _ts(end))).select(
         "datetime_15min", F.coalesce(F.col("lag_7d"), hist.cast("double")).alias("prediction"))
+
+
+def seasonal_grid(load: DataFrame, start, end, season: int = 7 * SLOTS_PER_DAY, target: str = "active_kw") -> DataFrame:
+    """F1 for every slot of ``[start, end)``, whether or not it has a load yet.
+
+    A slot takes the value ``k`` seasons earlier, ``k`` being the least that lands before
+    ``start``, else the mean before ``start``.  The grid is generated, so a window in the
+    future gives all its rows, and rows at or after ``start`` are not read.
+    """
+    hist = materialize(load.where(F.col("datetime_15min") < _ts(start)))
+    stop = add_minutes(_ts(end), -SLOT_MINUTES)
+    grid = hist.sparkSession.range(1).select(F.explode(F.sequence(_ts(start), stop, _step())).alias("datetime_15min"))
+    span = season * SLOT_MINUTES
+    k = F.floor(F.timestamp_diff("MINUTE", _ts(start), F.col("datetime_15min")) / F.lit(span)).cast("int") + 1
+    grid = grid.withColumn("_src", F.col("datetime_15min") - F.make_dt_interval(F.lit(0), F.lit(0), k * F.lit(span)))
+    src = hist.select(F.col("datetime_15min").alias("_src"), F.col(target).alias("_v"))
+    mean = hist.agg(F.avg(target)).scalar()
+    return grid.join(src, "_src", "left").select("datetime_15min", F.coalesce("_v", mean.cast("double")).alias("prediction"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wattline import NATIONAL_ID, SLOT_MINUTES
 from wattline.functions.safe import nan_to_null, safe_div
 from wattline.functions.timefn import add_minutes, floor_day, floor_minutes
-from wattline.operators.dims import map_codes, small
+from wattline.operators.dims import map_codes
 from wattline.sources.tables import WEATHER_RAW_COLS
 
 # Fixed names of the seven weather covariates (raw -> panel).
@@ -146,7 +146,7 @@ def build_panel(load: DataFrame, weather15: DataFrame | None, hol: DataFrame | N
         p = p.join(weather15, ["item_id", "datetime_15min"], "left")
     if hol is not None:
         p = (p.withColumn("date", floor_day("datetime_15min"))
-             .join(small(hol), ["item_id", "date"], "left").drop("date"))
+             .join(hol, ["item_id", "date"], "left").drop("date"))
         for c in HOLIDAY_COLS:
             p = p.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("int"))
     return p

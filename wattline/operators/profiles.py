@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.safe import exact_mean, exact_sum, null_or_nan
@@ -12,41 +12,63 @@ from wattline.functions.timefn import half_open
 PIVOT_COLS = [f"h{h:02d}_{s}" for s in ("wd", "we") for h in range(24)]
 
 
+def _sample(readings: DataFrame, start=None, end=None) -> DataFrame:
+    """The sampled readings with hour and weekend flag; the range filter is on the raw timestamp (pushed to the scan)."""
+    r = readings.where(half_open("datetime_local", start, end)) if (start or end) else readings
+    return r.select("client_id", "community_code", "active_kw", F.hour("datetime_local").alias("hour"),
+                    F.dayofweek("datetime_local").isin(1, 7).cast("int").alias("is_weekend"))
+
+
+def _moments(x) -> list:
+    """Count, exact sum, square sum, largest value, and the sum of squared deviations from the own mean."""
+    return [exact_sum(x).alias("sum_kw"), F.sum(x * x).alias("sumsq_kw"), (F.var_pop(x) * F.count(x)).alias("m2_kw"),
+            F.max(x).alias("max_kw"), F.count(x).alias("n")]
+
+
+def spread():
+    """Population std over partials: each partial's own squared deviations plus those of its mean from the whole mean.
+
+    Doubles throughout, and nothing large is subtracted from something as large, so neither
+    small loads (0.0005 kW) nor large ones (5e6 kW) lose their spread.  Expects on every row
+    ``_above``, the partial's mean above the least one of the group, and ``_mean``, the mean of
+    ``_above`` over the group's rows; equal loads give exactly 0.
+    """
+    off = F.col("_above") - F.col("_mean")
+    return F.sqrt(F.try_divide(F.sum(F.coalesce("m2_kw", F.lit(0.0)) + F.coalesce(off * off * F.col("n"), F.lit(0.0))), F.sum("n")))
+
+
 def profile_partials(readings: DataFrame, start=None, end=None) -> DataFrame:
     """(client, region, weekend, hour) partials: mean, sum, sum of squares, max, n.
 
-    The sample filter is on the raw timestamp (pushed to the scan) and the
-    partial aggregate collapses raw rows to at most 48 rows per client and region.
+    The partial aggregate collapses raw rows to at most 48 rows per client and region.
     """
-    r = readings.where(half_open("datetime_local", start, end)) if (start or end) else readings
-    dow = F.dayofweek("datetime_local")
-    feat = r.select("client_id", "community_code", "active_kw",
-                    F.hour("datetime_local").alias("hour"),
-                    dow.isin(1, 7).cast("int").alias("is_weekend"))
-    x = F.col("active_kw")
-    part = feat.groupBy("client_id", "community_code", "is_weekend", "hour").agg(
-        exact_sum(x).alias("sum_kw"), exact_sum(x * x).alias("sumsq_kw"),
-        F.max(x).alias("max_kw"), F.count(x).alias("n"))
+    part = _sample(readings, start, end).groupBy("client_id", "community_code", "is_weekend", "hour").agg(*_moments(F.col("active_kw")))
     return part.withColumn("avg_kw", exact_mean("sum_kw", "n"))
 
 
 def client_stats(partials: DataFrame) -> DataFrame:
-    """Mean, population std from the partials (never NaN: variance floored at 0, D19),
-    max, and a deterministic region: the one with most rows, ties to the smallest code."""
+    """Mean, population std from the partials (never NaN, D19), max, and a deterministic
+    region: the one with most rows, ties to the smallest code."""
     by_region = partials.groupBy("client_id", "community_code").agg(F.sum("n").alias("_rn"))
     region = by_region.groupBy("client_id").agg(
         F.min_by("community_code", F.struct(-F.col("_rn"), F.col("community_code"))).alias("community_code"))
-    mean = exact_mean(F.sum("sum_kw"), F.sum("n"))
-    var = exact_mean(F.sum("sumsq_kw"), F.sum("n")) - F.pow(mean, F.lit(2))
-    stats = partials.groupBy("client_id").agg(
-        mean.alias("mean_kw"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std_kw"), F.max("max_kw").alias("max_kw"))
+    per_client = Window.partitionBy("client_id")  # at most 48 rows per region of the client
+    p = partials.withColumn("_above", F.col("avg_kw") - F.min("avg_kw").over(per_client))
+    p = p.withColumn("_mean", F.try_divide(F.sum(F.col("_above") * F.col("n")).over(per_client), F.sum("n").over(per_client)))
+    stats = p.groupBy("client_id").agg(exact_mean(F.sum("sum_kw"), F.sum("n")).alias("mean_kw"), spread().alias("std_kw"), F.max("max_kw").alias("max_kw"))
     return region.join(stats, "client_id")
 
 
 def client_p95(readings: DataFrame, start=None, end=None, accuracy: int = 1000) -> DataFrame:
     """A10: 95th percentile per client (mergeable sketch, map-side partial)."""
-    r = readings.where(half_open("datetime_local", start, end)) if (start or end) else readings
-    return r.groupBy("client_id").agg(F.percentile_approx("active_kw", 0.95, accuracy).alias("p95_kw"))
+    return _sample(readings, start, end).groupBy("client_id").agg(F.percentile_approx("active_kw", 0.95, accuracy).alias("p95_kw"))
+
+
+def client_p95_exact(readings: DataFrame, start=None, end=None) -> DataFrame:
+    """A10 without the sketch: the least reading that 95 % of a client's readings do not exceed."""
+    from wattline.operators.quantiles import exact_quantiles
+
+    return exact_quantiles(_sample(readings, start, end), "active_kw", {"p95_kw": 0.95}, by=["client_id"], discrete=True)
 
 
 def profile_wide(partials: DataFrame) -> DataFrame:
@@ -61,11 +83,20 @@ def profile_wide(partials: DataFrame) -> DataFrame:
     return wide.fillna(0, subset=PIVOT_COLS)
 
 
-def client_features(readings: DataFrame, start=None, end=None) -> DataFrame:
-    """Stats ⋈ p95 ⋈ profile, all keyed (and partitioned) by ``client_id``."""
-    parts = profile_partials(readings, start, end)
-    return (client_stats(parts).join(client_p95(readings, start, end), "client_id")
-            .join(profile_wide(parts), "client_id"))
+def client_features(readings: DataFrame, start=None, end=None, accuracy: int = 1000) -> DataFrame:
+    """Stats, p95 and profile per client from one scan.
+
+    One pass of grouping sets gives the partials and the per-client percentile; it is
+    written once, at most 49 rows per client and region, and read by the three roll-ups.
+    """
+    from wattline.session import cut_lineage
+
+    keys = ["client_id", "community_code", "is_weekend", "hour"]
+    cells = cut_lineage(_sample(readings, start, end).groupingSets([keys, ["client_id"]], *keys).agg(
+        F.grouping("hour").alias("_whole"), F.percentile_approx("active_kw", 0.95, accuracy).alias("p95_kw"), *_moments(F.col("active_kw"))))
+    parts = cells.where("_whole = 0").drop("_whole", "p95_kw").withColumn("avg_kw", exact_mean("sum_kw", "n"))
+    p95 = cells.where("_whole = 1").select("client_id", "p95_kw")
+    return client_stats(parts).join(p95, "client_id").join(profile_wide(parts), "client_id")
 
 
 def missing_cells(df: DataFrame, exclude=("client_id", "community_code")) -> DataFrame:
@@ -83,17 +114,15 @@ def missing_cells(df: DataFrame, exclude=("client_id", "community_code")) -> Dat
 def describe(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles (linear), max.
 
-    Quartiles come from ``exact_quantiles`` (no single-task value map); both
-    one-row aggregates share the constant group key ``_g``.
+    The quartiles' row and the other statistics' row are merged by one aggregate, not a join.
     """
     from wattline.operators.quantiles import exact_quantiles
 
     c = F.col(col)
-    g = df.withColumn("_g", F.lit(0))
-    q = exact_quantiles(g, col, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by=["_g"])
-    stats = g.groupBy("_g").agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                                F.min(c).alias("min"), F.max(c).alias("max"))
-    return stats.join(q, "_g").select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    q = exact_quantiles(df, col, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    stats = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    return stats.unionByName(q, allowMissingColumns=True).agg(*[F.max(n).alias(n) for n in names])
 
 
 def dataset_totals(readings: DataFrame) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Exact quantiles with linear interpolation, computed without one task per group.
+"""Exact quantiles without one task per group.
 
-Spark's exact ``percentile`` merges a value->count map of the whole group in
-one task.  Here each group's values are split into ``n_buckets`` value ranges
-whose edges come from a mergeable sketch (``percentile_approx``).  Counts per
-(group, bucket) give exact cumulative offsets (a tiny table), and exact ranks
-are resolved only inside the bucket that holds each wanted position, so every
-task sees about 1/``n_buckets`` of a group.  Result equals ``quantile_cont``.
+Spark's exact ``percentile`` merges a value->count map of the whole group in one task.
+Here the distinct values (with counts, combined map-side) are range-partitioned by
+(group, value), so a hot group spreads over as many partitions as its values fill.  Counts
+per (group, partition), a tiny table, give exact offsets, and ranks are resolved only in
+the few (group, partition) pairs that hold a wanted position.
 """
 
 from __future__ import annotations
@@ -14,45 +13,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, value: str, levels: dict[str, float], by=(),
-                    n_buckets: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, levels: dict[str, float], by=(), discrete: bool = False,
+                    n_ranges: int | None = None) -> DataFrame:
     """One row per group with a column per ``levels`` entry (name -> q).
 
-    Without ``by`` the whole frame is one group keyed by a constant ``_g``
-    (dropped from the result); per-group edges and counts are joined back on
-    the group key, as for any grouping.
+    Equal to ``quantile_cont`` (linear), or with ``discrete`` to ``quantile_disc`` (the
+    least value that a share q of the rows does not exceed).  NULL and NaN are left out;
+    without ``by`` there is one row, of NULLs for an empty frame.
     """
+    from wattline.session import cut_lineage
+
     by = list(by)
     if not by:
-        return exact_quantiles(df.withColumn("_g", F.lit(0)), value, levels, ["_g"], n_buckets).drop("_g")
+        one = exact_quantiles(df.withColumn("_g", F.lit(0)), value, levels, ["_g"], discrete, n_ranges)
+        return one.agg(*[F.max(n).alias(n) for n in levels])
+    ranges = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).cast("double").alias("_v"))
-    # distinct values with multiplicity (map-side combined)
-    from wattline.session import cut_lineage
-
-    # read three times below (edges, bucket counts, in-bucket ranks): materialise once
-    d = cut_lineage(v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    edges = d.groupBy(*by).agg(F.percentile_approx("_v", qs, 10000).alias("_edges"), F.sum("_c").alias("_n"))
-    d = d.join(edges, by)
-    d = d.withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
-    # exact offsets: counts per (group, bucket), running sum over the (few) buckets of a group
-    per = d.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
-    wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_off", F.coalesce(F.sum("_bc").over(wb), F.lit(0)))
-    # wanted 0-based positions: floor and ceil of q * (n - 1)
-    wanted = per.select(*by, "_b", "_off", "_bc", "_n", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in levels.items()])).alias("_lv"))
-    h = F.col("_lv.q") * (F.col("_n") - 1)
-    wanted = wanted.select(*by, "_b", "_off", "_bc", F.col("_lv.name").alias("_name"), h.alias("_h"),
-                           F.explode(F.array(F.floor(h), F.ceil(h))).alias("_pos"))
-    wanted = wanted.where((F.col("_pos") >= F.col("_off")) & (F.col("_pos") < F.col("_off") + F.col("_bc")))
-    # inside a bucket: running count in value order (one group-bucket per window partition)
-    wr = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = d.withColumn("_end", F.sum("_c").over(wr)).withColumn("_start", F.col("_end") - F.col("_c"))
-    hit = wanted.join(inside.select(*by, "_b", "_v", "_start", "_end"), [*by, "_b"]).where(
-        (F.col("_pos") - F.col("_off") >= F.col("_start")) & (F.col("_pos") - F.col("_off") < F.col("_end")))
-    lo_hi = hit.groupBy(*by, "_name", "_h").agg(
-        F.min_by("_v", "_pos").alias("_lo"), F.max_by("_v", "_pos").alias("_hi"))
-    frac = F.col("_h") - F.floor("_h")
-    res = lo_hi.select(*by, "_name", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("_q"))
-    return res.groupBy(*by).pivot("_name", list(levels)).agg(F.first("_q"))
+    counts = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # written once: read for the counts and again for the ranks
+    d = cut_lineage(counts.repartitionByRange(ranges, *by, "_v").withColumn("_r", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy(*by, "_r").agg(F.sum("_c").alias("_rc")).withColumn("_off", F.coalesce(F.sum("_rc").over(before), F.lit(0)))
+    per = per.withColumn("_n", F.sum("_rc").over(Window.partitionBy(*by)))
+    level = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q")) for name, q in levels.items()]))
+    wanted = per.withColumn("_l", level).withColumn("_name", F.col("_l.name"))
+    if discrete:
+        # decimals, as 0.95 * n in doubles can pass a whole number
+        at = F.greatest(F.ceil(F.col("_l.q").cast("decimal(18,9)") * F.col("_n")) - 1, F.lit(0)).cast("double")
+    else:
+        at = F.col("_l.q") * (F.col("_n") - 1)
+    wanted = wanted.select(*by, "_r", "_off", "_rc", "_name", at.alias("_h")).withColumn("_pos", F.explode(F.array(F.floor("_h"), F.ceil("_h"))))
+    wanted = wanted.where((F.col("_pos") >= F.col("_off")) & (F.col("_pos") < F.col("_off") + F.col("_rc")))
+    upto = Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = d.join(wanted.select(*by, "_r").distinct(), [*by, "_r"], "left_semi").withColumn("_end", F.sum("_c").over(upto))
+    place = F.col("_pos") - F.col("_off")
+    hit = wanted.join(inside, [*by, "_r"]).where((place >= F.col("_end") - F.col("_c")) & (place < F.col("_end")))
+    ends = hit.groupBy(*by, "_name", "_h").agg(F.min_by("_v", "_pos").alias("_lo"), F.max_by("_v", "_pos").alias("_hi"))
+    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_h") - F.floor("_h"))
+    return ends.select(*by, "_name", q.alias("_q")).groupBy(*by).pivot("_name", list(levels)).agg(F.first("_q"))

@@ -7,14 +7,15 @@ order cannot change the value hash; everything else is compared exactly.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from wattline.functions.calendar import calendar_columns
-from wattline.functions.timefn import floor_day, half_open
+from wattline.functions.timefn import raw_range
 from wattline.operators import clusters as C
 from wattline.operators import evaluate as E
 from wattline.operators import features as X
@@ -23,7 +24,8 @@ from wattline.operators import panel as P
 from wattline.operators import profiles as PR
 from wattline.plans import sqlviews as V
 from wattline.plans.params import (AS_OF, ENSEMBLE_WEIGHTS, FC_END, FC_START, HOLDOUT, HORIZON, N_WINDOWS,
-                                   PREVIEW_ROWS, PROFILE_END, PROFILE_START, RECENT_DAYS, TEAM_NAME)
+                                   PREVIEW_ROWS, PROFILE_END, PROFILE_START, RECENT_DAYS, SUBMITTED_AT, TEAM_NAME)
+from wattline.session import ensure_checkpoint_dir
 from wattline.sources import sinks as S
 from wattline.sources import tables as T
 
@@ -78,6 +80,7 @@ LOAD_DBL = ["active_kw", "avg_kw_per_client"]
 WCOLS = P.WEATHER_COLS
 PANEL_DBL = LOAD_DBL + WCOLS
 FC_LAST_DAY = "2024-01-28"
+RESIDUAL_START = "2024-01-17"  # N_WINDOWS days before FC_START
 
 
 def _w(ctes, body, dbl):
@@ -242,7 +245,7 @@ def _tt_sql():
     return _w(ctes, body, ["target"])
 
 
-def _approach_sql():
+def _approach_ctes():
     ctes, body = _tt_parts()
     ctes = ctes + [
         f"longt AS (SELECT approach || '#' || item_id AS item_id, approach, datetime_15min, n_clients, target, rescale_by_n FROM ({body}) t)",
@@ -258,10 +261,9 @@ def _approach_sql():
   FROM (SELECT item_id, wnd, avg(err) AS w_mae FROM bt GROUP BY 1, 2) w GROUP BY 1)""",
         """lastn AS (SELECT item_id, any_value(approach) AS approach, arg_max(n_clients, datetime_15min) AS n_last,
   bool_or(rescale_by_n) AS rescale FROM longt GROUP BY 1)"""]
-    return _w(ctes, """SELECT l.approach,
-  sum(s.score_val * CASE WHEN l.rescale THEN l.n_last ELSE 1 END) AS spain_total_mae,
-  count(*) AS n_regions, bool_or(l.rescale) AS rescale_by_n
-FROM score s JOIN lastn l ON s.item_id = l.item_id GROUP BY 1""", ["spain_total_mae"])
+    ctes.append("""proxies AS (SELECT l.approach, split_part(s.item_id, '#', 2) AS item_id, l.rescale,
+  s.score_val * CASE WHEN l.rescale THEN l.n_last ELSE 1 END AS proxy FROM score s JOIN lastn l ON s.item_id = l.item_id)""")
+    return ctes
 
 
 @query("target_transforms", _tt_sql())
@@ -318,6 +320,14 @@ def seasonal_forecast(spark, d):
     return present(FC.seasonal_with_mean(_load(spark, d, "national"), FC_START, FC_END))
 
 
+@query("seasonal_forecast_grid", _w([V.READINGS, V.load_cte("load", "national")], f"""SELECT g.datetime_15min,
+  coalesce(b.active_kw, (SELECT avg(active_kw) FROM load WHERE datetime_15min < TIMESTAMP '{FC_START}')) AS prediction
+FROM (SELECT unnest(generate_series(TIMESTAMP '{FC_START}', TIMESTAMP '{FC_END}' - INTERVAL 15 MINUTE, INTERVAL 15 MINUTE)) AS datetime_15min) g
+LEFT JOIN load b ON b.datetime_15min = g.datetime_15min - INTERVAL 7 DAY""", ["prediction"]))
+def seasonal_forecast_grid(spark, d):
+    return present(FC.seasonal_grid(_load(spark, d, "national"), FC_START, FC_END))
+
+
 def _rolling_ctes(season_days: int, panel="load", target="active_kw", name="pred"):
     return [V.origins_cte("orig", panel, FC_START, FC_LAST_DAY), V.grid_cte("grid0", "orig"),
             f"grid AS (SELECT * FROM grid0 WHERE datetime_15min >= TIMESTAMP '{FC_START}' AND datetime_15min < TIMESTAMP '{FC_END}')",
@@ -501,29 +511,27 @@ def metric_log(spark, d):
 
 
 def _quantile_sql():
+    """Residuals by a range condition on the origin, not by exploding days."""
     levels = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
-    bt = _bt_sql_ctes()[:-1]
-    qcols = ", ".join(f"quantile_cont(resid, {lv}) AS _q{int(round(lv * 100)):02d}" for lv in levels)
-    out = ", ".join(f"f.prediction + q._q{int(round(lv * 100)):02d} AS q{int(round(lv * 100)):02d}" for lv in levels)
-    ctes = bt + [
-        f"""qs AS (SELECT item_id, CAST((hour(datetime_15min) * 60 + minute(datetime_15min)) // 15 AS INTEGER) AS slot, {qcols}
-  FROM (SELECT item_id, datetime_15min, actual - prediction AS resid FROM bt WHERE model = 'SeasonalNaive') r GROUP BY 1, 2)""",
-        V.origins_cte("forig", "load", FC_START, FC_LAST_DAY), V.grid_cte("fgrid0", "forig"),
-        f"fgrid AS (SELECT * FROM fgrid0 WHERE datetime_15min >= TIMESTAMP '{FC_START}' AND datetime_15min < TIMESTAMP '{FC_END}')",
-        V.hist_mean_cte("fhm", "forig", "load"), V.seasonal_pred_cte("f", "fgrid", "load", "fhm", 1)]
+    names = [f"q{int(round(lv * 100)):02d}" for lv in levels]
+    slot = "CAST((hour({0}) * 60 + minute({0})) // 15 AS INTEGER)"
+    out = ", ".join(f"f.prediction + quantile_cont(r.resid, {lv}) AS {n}" for lv, n in zip(levels, names))
+    ctes = [V.READINGS, V.load_cte("load", "region"),
+            V.origins_cte("orig", "load", RESIDUAL_START, FC_LAST_DAY), V.grid_cte("grid", "orig"), V.hist_mean_cte("hm", "orig", "load"),
+            V.seasonal_pred_cte("pred", "grid", "load", "hm", 1),
+            """res AS (SELECT p.item_id, p.origin, p.datetime_15min, l.active_kw - p.prediction AS resid
+  FROM pred p JOIN load l ON l.item_id = p.item_id AND l.datetime_15min = p.datetime_15min)"""]
     body = f"""SELECT f.item_id, f.origin, f.datetime_15min, f.prediction, {out}
-FROM f LEFT JOIN qs q ON q.item_id = f.item_id
-  AND q.slot = CAST((hour(f.datetime_15min) * 60 + minute(f.datetime_15min)) // 15 AS INTEGER)"""
-    return _w(ctes, body, ["prediction"] + [f"q{int(round(lv * 100)):02d}" for lv in levels])
+FROM pred f LEFT JOIN res r ON r.item_id = f.item_id AND r.origin < f.origin AND r.origin >= f.origin - INTERVAL {N_WINDOWS} DAY
+  AND {slot.format("r.datetime_15min")} = {slot.format("f.datetime_15min")}
+WHERE f.datetime_15min >= TIMESTAMP '{FC_START}' AND f.datetime_15min < TIMESTAMP '{FC_END}'
+GROUP BY f.item_id, f.origin, f.datetime_15min, f.prediction"""
+    return _w(ctes, body, ["prediction"] + names)
 
 
 @query("quantile_forecast", _quantile_sql())
 def quantile_forecast(spark, d):
-    load = _load(spark, d, "region")
-    bt = E.backtest(load, [FC.SeasonalNaive(96)], N_WINDOWS)
-    pred = FC.rolling_forecast(FC.SeasonalNaive(96), load, FC_START, FC_END).select(
-        "item_id", "origin", "datetime_15min", "prediction")
-    return present(E.quantile_forecast(bt, pred))
+    return present(E.quantile_forecast(_load(spark, d, "region"), FC.SeasonalNaive(96), FC_START, FC_END, N_WINDOWS))
 
 
 # ---------------------------------------------------------------- A8-A11, C1, A20, A25, P7, P15, P19, P22, J3
@@ -531,19 +539,18 @@ def quantile_forecast(spark, d):
 _PROFILE_READ = f"""sample AS (SELECT client_id, community_code, active_kw,
   CAST(hour(datetime_local) AS INTEGER) AS hour, CAST(dayofweek(datetime_local) IN (0, 6) AS INTEGER) AS is_weekend
   FROM readings WHERE datetime_local >= TIMESTAMP '{PROFILE_START}' AND datetime_local < TIMESTAMP '{PROFILE_END}')"""
-_PARTIALS = """parts AS (SELECT client_id, community_code, is_weekend, hour,
-  sum(CAST(active_kw AS DECIMAL(18,6))) AS sum_kw, sum(CAST(active_kw * active_kw AS DECIMAL(18,6))) AS sumsq_kw,
-  max(active_kw) AS max_kw, count(active_kw) AS n,
-  CAST(sum(CAST(active_kw AS DECIMAL(18,6))) AS DOUBLE) / count(active_kw) AS avg_kw
+_EXACT = "sum(CAST(active_kw AS DECIMAL(28,10)))"
+_PARTIALS = f"""parts AS (SELECT client_id, community_code, is_weekend, hour,
+  {_EXACT} AS sum_kw, sum(active_kw * active_kw) AS sumsq_kw, max(active_kw) AS max_kw, count(active_kw) AS n,
+  CAST({_EXACT} AS DOUBLE) / count(active_kw) AS avg_kw, stddev_pop(active_kw) AS std_kw
   FROM sample GROUP BY 1, 2, 3, 4)"""
-_STATS = """stats AS (
+_STATS = f"""stats AS (
   SELECT r.client_id, r.community_code, s.mean_kw, s.std_kw, s.max_kw
-  FROM (SELECT client_id, arg_min(community_code, (-rn, community_code)) AS community_code
-        FROM (SELECT client_id, community_code, sum(n) AS rn FROM parts GROUP BY 1, 2) GROUP BY 1) r
-  JOIN (SELECT client_id, CAST(sum(sum_kw) AS DOUBLE) / sum(n) AS mean_kw,
-          sqrt(greatest(CAST(sum(sumsq_kw) AS DOUBLE) / sum(n) - pow(CAST(sum(sum_kw) AS DOUBLE) / sum(n), 2), 0.0)) AS std_kw,
-          max(max_kw) AS max_kw
-        FROM parts GROUP BY 1) s ON r.client_id = s.client_id)"""
+  FROM (SELECT client_id, community_code, row_number() OVER (PARTITION BY client_id ORDER BY count(active_kw) DESC, community_code) AS k
+        FROM sample GROUP BY 1, 2) r
+  JOIN (SELECT client_id, CAST({_EXACT} AS DOUBLE) / count(active_kw) AS mean_kw, stddev_pop(active_kw) AS std_kw, max(active_kw) AS max_kw
+        FROM sample GROUP BY 1) s ON r.client_id = s.client_id
+  WHERE r.k = 1)"""
 _P95 = "p95 AS (SELECT client_id, quantile_disc(active_kw, 0.95) AS p95_kw FROM sample GROUP BY 1)"
 _PIVOT_SRC = """hourly AS (SELECT client_id, 'h' || lpad(CAST(hour AS VARCHAR), 2, '0') || CASE WHEN is_weekend = 1 THEN '_we' ELSE '_wd' END AS col_name,
   CAST(sum(sum_kw) AS DOUBLE) / sum(n) AS avg_kw FROM parts GROUP BY 1, 2)"""
@@ -559,11 +566,11 @@ def _parts(spark, d):
 
 
 @query("profile_partials", _w(_PROFILE_CTES[:3], """SELECT client_id, community_code, is_weekend, hour,
-  CAST(sum_kw AS DOUBLE) AS sum_kw, CAST(sumsq_kw AS DOUBLE) AS sumsq_kw, max_kw, n, avg_kw FROM parts""",
-                                 ["avg_kw", "sum_kw", "sumsq_kw", "max_kw"]))
+  CAST(sum_kw AS DOUBLE) AS sum_kw, sumsq_kw, max_kw, n, avg_kw, std_kw FROM parts""",
+                                 ["avg_kw", "sum_kw", "sumsq_kw", "max_kw", "std_kw"]))
 def profile_partials(spark, d):
-    p = _parts(spark, d)
-    return present(p.withColumns({c: F.col(c).cast("double") for c in ("sum_kw", "sumsq_kw")}))
+    p = _parts(spark, d).withColumn("std_kw", F.sqrt(F.try_divide(F.col("m2_kw"), F.col("n"))))
+    return present(p.withColumn("sum_kw", F.col("sum_kw").cast("double")).drop("m2_kw"))
 
 
 @query("client_stats", _w(_PROFILE_CTES[:4], "SELECT * FROM stats", ["mean_kw", "std_kw", "max_kw"]))
@@ -576,6 +583,11 @@ def client_p95(spark, d):
     return present(PR.client_p95(_readings(spark, d), PROFILE_START, PROFILE_END))
 
 
+@query("client_p95_exact", _w([V.READINGS, _PROFILE_READ, _P95], "SELECT * FROM p95", ["p95_kw"]))
+def client_p95_exact(spark, d):
+    return present(PR.client_p95_exact(_readings(spark, d), PROFILE_START, PROFILE_END))
+
+
 @query("client_profile_wide", _w(_PROFILE_CTES[:3] + [_PIVOT_SRC, _WIDE], "SELECT * FROM wide", PR.PIVOT_COLS))
 def client_profile_wide(spark, d):
     return present(PR.profile_wide(_parts(spark, d)))
@@ -611,9 +623,11 @@ def describe_load(spark, d):
 @query("recent_days", _w([V.READINGS, V.load_cte("load", "region")], f"""SELECT * FROM load
 WHERE datetime_15min >= (SELECT max(datetime_15min) FROM load) - INTERVAL {RECENT_DAYS} DAY""", LOAD_DBL))
 def recent_days(spark, d):
-    load = _load(spark, d, "region")
-    cutoff = load.select(F.max("datetime_15min")).scalar() - F.make_dt_interval(F.lit(RECENT_DAYS))
-    return present(load.where(F.col("datetime_15min") >= cutoff))
+    r = _readings(spark, d)
+    last = P.load_by(r, "region").agg(F.max("datetime_15min")).first()[0]  # one value; the scan is of ts alone
+    if last is None:
+        return present(_load(spark, d, "region"))
+    return present(P.load_by(raw_range(r, "datetime_local", last - timedelta(days=RECENT_DAYS)), "region"))
 
 
 @query("preview", V.with_([V.READINGS], f"""SELECT * FROM readings
@@ -685,7 +699,7 @@ def cluster_spread(spark, d):
     return present(C.cluster_spread(C.fit_clusters(_scaled(spark, d))))
 
 
-# ---------------------------------------------------------------- F7, F8, F12, F18, F19 (rows-only: fitted models)
+# ---------------------------------------------------------------- F8, F12, F18, F19 (rows-only: fitted models), F7, S4
 
 def _tree(spark, d):
     from wattline.operators.tree import TreeForecaster
@@ -726,14 +740,27 @@ def ensemble_weights(spark, d):
     return present(E.greedy_weights(_bt(spark, d), rounds=10))
 
 
-@query("approach_comparison", _approach_sql())
+@query("approach_comparison", _w(_approach_ctes(), """SELECT approach, spain_total_mae, n_regions, rescale_by_n,
+  CAST(row_number() OVER (ORDER BY spain_total_mae, approach) AS INTEGER) AS rank
+FROM (SELECT approach, sum(proxy) AS spain_total_mae, count(*) AS n_regions, bool_or(rescale) AS rescale_by_n FROM proxies GROUP BY 1) t""",
+                                 ["spain_total_mae"]))
 def approach_comparison(spark, d):
-    res = E.approach_comparison(X.target_transforms(_load(spark, d, "region")), N_WINDOWS)
-    return present(res)
+    return present(E.approach_comparison(X.target_transforms(_load(spark, d, "region")), N_WINDOWS))
+
+
+@query("best_worst_targets", _w(_approach_ctes(), """SELECT item_id, arg_min(approach, (proxy, approach)) AS best_approach, min(proxy) AS best_mae,
+  arg_max(approach, (proxy, approach)) AS worst_approach, max(proxy) AS worst_mae FROM proxies GROUP BY 1""", ["best_mae", "worst_mae"]))
+def best_worst_targets(spark, d):
+    return present(E.best_worst_targets(E.approach_scores(X.target_transforms(_load(spark, d, "region")), N_WINDOWS)))
 
 
-@query("publish_forecast")
+@query("publish_forecast", _w([V.READINGS, V.load_cte("load", "region")] + _rolling_ctes(1),
+                              f"""SELECT '{TEAM_NAME}' AS team_name, datetime_15min, sum(prediction) AS prediction,
+  TIMESTAMP '{SUBMITTED_AT}' AS submitted_at FROM pred GROUP BY datetime_15min""", ["prediction"]))
 def publish_forecast(spark, d):
+    """The submission is written, counted on the way, and read back."""
     pred = FC.contract(FC.to_total(FC.rolling_forecast(FC.SeasonalNaive(96), _load(spark, d, "region"),
                                                        FC_START, FC_END)), FC_START, FC_END)
-    return S.publish_forecast(pred, TEAM_NAME)
+    path = f"{ensure_checkpoint_dir(spark)}/submissions-{uuid.uuid4().hex}"
+    S.write_runs(S.publish_forecast(pred, TEAM_NAME, run_id="query", submitted_at=SUBMITTED_AT), path)
+    return present(spark.read.parquet(path).drop("run_id").withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz")))

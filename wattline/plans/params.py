@@ -13,3 +13,4 @@ HORIZON = 96
 PREVIEW_ROWS = 100
 ENSEMBLE_WEIGHTS = {"SeasonalNaive": 0.6, "SeasonalNaive672": 0.4}
 TEAM_NAME = "wattline_team"
+SUBMITTED_AT = "2024-01-21 12:00:00"

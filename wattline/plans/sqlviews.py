@@ -30,7 +30,7 @@ WEATHER = f"""weather AS (
 HOLIDAYS = """holidays AS (
   SELECT CAST(DATE '2024-01-01' + CAST(t.d AS INTEGER) AS TIMESTAMP) AS date, n.n_name AS community_code,
          (n.n_nationkey + t.d) % 13 = 0 AS is_holiday, (n.n_nationkey + t.d) % 13 = 1 AS is_bridge
-  FROM nation n CROSS JOIN range(30) t(d)
+  FROM nation n CROSS JOIN (SELECT unnest(generate_series(0, date_diff('day', DATE '2024-01-01', CAST(max(ts) AS DATE)))) AS d FROM events) t
   WHERE n.n_nationkey NOT IN (3, 4) AND (n.n_nationkey + t.d) % 13 IN (0, 1))"""
 
 SLOT = "time_bucket(INTERVAL 15 MINUTE, datetime_local)"
@@ -133,7 +133,7 @@ def grid_cte(name: str, orig: str) -> str:
 def hist_mean_cte(name: str, orig: str, panel: str, target: str = "active_kw") -> str:
     return f"""{name} AS (
   SELECT o.item_id, o.origin,
-         CAST(sum(CAST(p.{target} AS DECIMAL(18,6))) AS DOUBLE) / count(p.{target}) AS hist_mean
+         CAST(sum(CAST(p.{target} AS DECIMAL(28,10))) AS DOUBLE) / count(p.{target}) AS hist_mean
   FROM {orig} o JOIN {panel} p ON p.item_id = o.item_id AND p.datetime_15min < o.origin GROUP BY 1, 2)"""
 
 

@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def publish_forecast(pred: DataFrame, team_name: str, run_id: str | None = None) -> DataFrame:
+def publish_forecast(pred: DataFrame, team_name: str, run_id: str | None = None, submitted_at: str | None = None) -> DataFrame:
     """Shape forecasts as the submission table ``(team_name, datetime_15min, prediction, submitted_at)``.
 
     ``run_id`` (optional) becomes a partition column so that overwriting one
-    run keeps the others (dynamic partition overwrite in ``write_runs``).
+    run keeps the others (dynamic partition overwrite in ``write_runs``).  ``submitted_at``
+    fixes the time of submission; by default it is the time of the query.
     """
     out = pred.select(
         F.lit(team_name).alias("team_name"),
         F.col("datetime_15min").cast("timestamp_ntz").alias("datetime_15min"),
         F.col("prediction").cast("double").alias("prediction"),
-        F.current_timestamp().alias("submitted_at"),
+        (F.current_timestamp() if submitted_at is None else F.lit(submitted_at).cast("timestamp")).alias("submitted_at"),
     )
     if run_id is not None:
         out = out.withColumn("run_id", F.lit(run_id))
@@ -29,14 +30,8 @@ def write_runs(df: DataFrame, path: str, observe_name: str = "written") -> int:
     from pyspark.sql import Observation
 
     obs = Observation(observe_name)
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.observe(obs, F.count(F.lit(1)).alias("rows"))
-           .write.mode("overwrite").partitionBy("run_id").parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("run_id").parquet(path))
     return int(obs.get["rows"])
 
 

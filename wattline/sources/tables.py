@@ -18,11 +18,10 @@ from wattline.functions.timefn import floor_hour, half_open, as_ntz
 
 # Fixed values of the stand-in views (must match the oracle SQL):
 # nations 3 and 4 have load but no weather station and no holiday rows;
-# the holiday calendar covers 30 days from 2024-01-01 and marks
-# (n_nationkey + day) % 13 == 0 as holiday and == 1 as bridge day.
+# the holiday calendar covers the days from 2024-01-01 to the last reading's and
+# marks (n_nationkey + day) % 13 == 0 as holiday and == 1 as bridge day.
 NO_WEATHER_NATIONS = (3, 4)
 HOLIDAY_START = "2024-01-01"
-HOLIDAY_DAYS = 30
 HOLIDAY_MODULUS = 13
 
 WEATHER_RAW_COLS = [
@@ -57,7 +56,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     nat = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
     df = (
         ev.join(cust, ev.user_id == cust.c_custkey)
-        .join(F.broadcast(nat), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nat, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("user_id").alias("client_id"),
             F.col("ts").alias("datetime_local"),
@@ -75,7 +74,7 @@ def region_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     nat = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     reg = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    return nat.join(F.broadcast(reg), nat.n_regionkey == reg.r_regionkey).select(
+    return nat.join(reg, nat.n_regionkey == reg.r_regionkey).select(
         F.col("n_name").alias("admin_name"),
         F.col("n_name").alias("community_code"),
         F.col("r_name").alias("region_group"),
@@ -103,7 +102,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     j = (
         ev.join(cust, ev.user_id == cust.c_custkey)
-        .join(F.broadcast(nat), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(nat, F.col("c_nationkey") == F.col("n_nationkey"))
         .withColumn("date", floor_hour("ts"))
     )
     view = F.when(F.col("event_type") == "view", _dec("value"))
@@ -121,14 +120,15 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse regional calendar ``(date, community_code, is_holiday, is_bridge)``.
+    """Sparse regional calendar ``(date, community_code, is_holiday, is_bridge)``, to the last reading's day.
 
     Built by exploding a day sequence per nation row (no cross join).
     """
     nat = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).where(
         ~F.col("n_nationkey").isin(*NO_WEATHER_NATIONS)
     )
-    days = nat.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(HOLIDAY_DAYS - 1))))
+    last = read_table(spark, sf_dir, "events", ["ts"]).agg(F.datediff(F.max("ts"), F.lit(HOLIDAY_START).cast("date")).alias("d")).first()["d"]
+    days = nat.withColumn("d", F.explode(F.when(F.lit(last) >= 0, F.sequence(F.lit(0), F.lit(last)))))
     rem = (F.col("n_nationkey") + F.col("d")) % HOLIDAY_MODULUS
     return days.where(rem.isin(0, 1)).select(
         (F.lit(HOLIDAY_START).cast("timestamp_ntz") + F.make_dt_interval(F.col("d"))).alias("date"),
