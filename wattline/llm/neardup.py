@@ -11,10 +11,12 @@ that shares most bucket places overall, which for a group of near copies is thei
 common origin.  Verified links give components; a bucket whose members are then one
 component needs nothing more, as further links could change nothing.  In the others
 every member outside the leader's component is compared with every member of another
-component, so no link between components is lost and nothing is capped.
+component, so no link between components is lost and nothing is capped.  Groups whose
+members are a little too unlike would then give very many pairs to verify, so here the
+estimate is finer, from one bit each of FINE minima.
 
-At a similarity of 0.8 a pair shares none of 32 bands of 4 with a chance of 5e-8, and
-its estimate falls below ESTIMATE_FROM with a chance of 1e-6.
+At a similarity of 0.8 a pair shares none of 32 bands of 4 with a chance of 5e-8; its
+estimate falls below ESTIMATE_FROM, or the fine one below FINE_FROM, with one of 1e-6.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from wattline.llm.common import Scratch, SpanHash, chunks, fold_ascii, joined, m
 BANDS, ROWS, BITS = 32, 4, 4
 PERMUTATIONS = BANDS * ROWS
 ESTIMATE_FROM = 0.62
-SIGNED = "doc_id long, n_shingles long, cls binary, sig array<long>, bands array<long>"
+FINE, FINE_FROM = 2048, 0.735
+SIGNED = "doc_id long, text_key long, n_shingles long, cls binary, sig array<long>, bands array<long>"
 _MULTIPLY = (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _ORDER = mix(np.arange(5001, 5065, dtype=np.uint64)) | np.uint64(1)
@@ -122,6 +125,10 @@ def estimate(a: str, b: str) -> Column:
     return (1 - wrong / F.lit(float(PERMUTATIONS)) - c) / (1 - c)
 
 
+def _mark(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
 def signed(docs: DataFrame, size: int = 4) -> DataFrame:
     """Set size, class, packed signature and band keys of every document."""
 
@@ -134,11 +141,11 @@ def signed(docs: DataFrame, size: int = 4) -> DataFrame:
                 least = minima(h, at)
                 sig, keys = iter(packed(least).tolist()), iter(band_keys(least).tolist())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[lo:hi], pa.int64()), pa.array(n), pa.array([class_of(h[at[i]:at[i + 1]]) for i in range(hi - lo)], pa.binary()),
+                    pa.array(ids[lo:hi], pa.int64()), b.column(2).slice(lo, hi - lo), pa.array(n), pa.array([class_of(h[at[i]:at[i + 1]]) for i in range(hi - lo)], pa.binary()),
                     pa.array([next(sig) if k else None for k in n], pa.list_(pa.int64())),
-                    pa.array([next(keys) if k else None for k in n], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "cls", "sig", "bands"])
+                    pa.array([next(keys) if k else None for k in n], pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "cls", "sig", "bands"])
 
-    return texts(docs).mapInArrow(run, SIGNED)
+    return texts(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, SIGNED)
 
 
 def full_sets(docs: DataFrame, size: int = 4) -> DataFrame:
@@ -156,6 +163,32 @@ def full_sets(docs: DataFrame, size: int = 4) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls binary, shingles binary").dropDuplicates(["cls"])
 
 
+def fine_signatures(sets: DataFrame) -> DataFrame:
+    """(cls, fine): the lowest bits of FINE further minima of every set, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        multiply = (mix(np.arange(20_001, FINE + 20_001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        add = (mix(np.arange(40_001, FINE + 40_001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+        for b in batches:
+            for lo, hi in chunks([v.as_py() for v in b.column(1)], 1 << 20):
+                values = [np.frombuffer(v.as_py(), np.uint64) for v in b.column(1).slice(lo, hi - lo)]
+                x = (np.concatenate(values) >> np.uint64(32)).astype(np.uint32)
+                start = np.cumsum([0, *map(len, values)])[:-1]
+                bits = np.empty((hi - lo, FINE), np.uint8)
+                for i in range(FINE):
+                    bits[:, i] = np.minimum.reduceat(x * multiply[i] + add[i], start) & np.uint32(1)
+                packed_ = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(packed_.tolist(), pa.list_(pa.int64()))], names=["cls", "fine"])
+
+    return sets.select("cls", "shingles").mapInArrow(run, "cls binary, fine array<long>")
+
+
+def fine_estimate(a: str, b: str) -> Column:
+    """As ``estimate``, of one-bit signatures: half of what does not match agrees by chance."""
+    wrong = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(FINE // 64)), F.lit(0))
+    return 1 - 2 * wrong / F.lit(float(FINE))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
 
@@ -215,6 +248,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     nothing.  Null ids stay null and are never a component's id unless it has no other;
     repeated rows share their set, so their component; an empty table gives no rows.
     """
+    return grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def grouped(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+    """doc_id, text_key (hash of the text), n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
     keep = Scratch(spark, "neardup")
     sig = keep.table("signed", signed(docs, size))
@@ -244,28 +282,37 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     at = keep.table("at", members.select("key", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
         "key", "cls", F.coalesce("root", "cls").alias("root")))
     open_ = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    rest = keep.table("rest", at.join(open_, "key").join(leaders, "key").join(sigs, "cls"))
+    open_members = keep.table("open", at.join(open_, "key"))
+    few = open_members.select("cls").distinct()
+    fine = fine_signatures(sets.join(few, "cls", "left_semi")).join(classes.select("cls", F.transform("bands", _mark).alias("marks")), "cls")
+    rest = keep.table("rest", open_members.join(leaders, "key").join(fine, "cls"))
     main = rest.where(F.col("cls") == F.col("leader")).select("key", F.col("root").alias("main"))
-    outside = rest.join(main, "key").where(F.col("root") != F.col("main")).where(F.col("cls") != F.col("leader")).select(
-        "key", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("sig").alias("sa"))
-    other = rest.where(F.col("cls") != F.col("leader")).select("key", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("sig").alias("sb"))
-    apart = (F.col("l.key") == F.col("r.key")) & (F.col("ra") != F.col("rb")) & (estimate("sa", "sb") >= ESTIMATE_FROM)
+    other = rest.where(F.col("cls") != F.col("leader"))
+    outside = other.join(main, "key").where(F.col("root") != F.col("main")).select(
+        "key", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("fine").alias("fa"), F.col("marks").alias("ma"))
+    other = other.select("key", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("fine").alias("fb"), F.col("marks").alias("mb"))
+    # a pair that shares several buckets is compared in the first of them
+    earlier = F.array_position("ma", _mark(F.col("l.key"))).cast("int") - 1
+    apart = ((F.col("l.key") == F.col("r.key")) & (F.col("ra") != F.col("rb")) & (fine_estimate("fa", "fb") >= FINE_FROM)
+             & ~F.arrays_overlap(F.slice("ma", F.lit(1), earlier), F.slice("mb", F.lit(1), earlier)))
     later = outside.alias("l").join(other.alias("r"), apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = keep.table("more", verified(later, sets, percent))
     if not more.isEmpty():
         roots = components(links.unionByName(more), keep, "second")
-    keep.drop("members", "leaders", "stars", "sets", "at", "rest", "more")
+    keep.drop("members", "leaders", "stars", "sets", "at", "open", "rest", "more")
 
     ids = classes.select("cls", "first").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = ids.groupBy("root").agg(F.min("first").alias("component"))
     named = ids.join(least, "root").select("cls", "component")
-    out = sig.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    out = sig.select("doc_id", "text_key", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """``docs`` with one document of every component, the one that names it; of its repeated rows, one."""
-    kept = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    kept = grouped(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_kept")).distinct()
+    rows = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_kept"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
