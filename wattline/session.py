@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="wattline-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)  # a local session's own folder goes with it
     sc.setCheckpointDir(path)
     return path
 
