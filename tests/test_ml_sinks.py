@@ -67,3 +67,14 @@ def test_rows_only_queries_run(spark):
 
     for name in ["cluster_mix", "ensemble_weights", "approach_comparison", "publish_forecast"]:
         assert E.queries()[name](spark, SF001).count() > 0
+
+
+def test_leaderboard_csv_and_metric_log_are_written(spark, tmp_path):
+    lb = spark.createDataFrame([("A", -1.5, 2), ("B [x]", -2.0, 2)], "model string, score_val double, n_items long")
+    S.write_leaderboard(lb, str(tmp_path / "lb"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "lb"))
+    assert back.columns == lb.columns and {r.model for r in back.collect()} == {"A", "B [x]"}
+    for run in ("r1", "r2"):
+        S.append_metrics(S.metric_log(lb), str(tmp_path / "log"), run)
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 8 and {r.run_id for r in log.collect()} == {"r1", "r2"}

@@ -367,6 +367,16 @@ def per_client_forecast(spark, d):
     return present(FC.contract(FC.to_total(pred), FC_START, FC_END))
 
 
+@query("per_client_forecast_actual", _w([V.READINGS, V.load_cte("load", "region")] + _rolling_ctes(1, target="avg_kw_per_client"),
+    """SELECT p.datetime_15min, sum(p.prediction * l.n_clients) AS prediction
+FROM pred p LEFT JOIN load l ON l.item_id = p.item_id AND l.datetime_15min = p.datetime_15min GROUP BY 1""", ["prediction"]))
+def per_client_forecast_actual(spark, d):
+    """Scaled back by the slot's realised client count, as in an evaluation."""
+    model = FC.SeasonalNaive(96, target="avg_kw_per_client")
+    pred = FC.per_client_forecast(model, _load(spark, d, "region"), FC_START, FC_END, rescale="actual")
+    return present(FC.contract(FC.to_total(pred), FC_START, FC_END))
+
+
 _ENS_SQL_CTES = ([V.READINGS, V.load_cte("load", "region")] + _rolling_ctes(1, name="p1")
                  + [V.seasonal_pred_cte("p7", "grid", "load", "hm", 7)])
 
