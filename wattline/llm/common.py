@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +36,8 @@ def parts(spark: SparkSession) -> int:
 class Scratch:
     """Written tables of one run, in a folder of its own under ``spark.checkpoint.dir``.
 
-    They cut lineage and outlive a lost executor; ``drop`` removes the ones no longer read.
+    They cut lineage and outlive a lost executor; ``drop`` removes the ones no longer read,
+    and lets Spark clean up the shuffles that went into them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -49,6 +53,8 @@ class Scratch:
         for name in names:
             p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()  # Spark removes the shuffle files of plans that neither Python nor the JVM holds any longer
+        jvm.System.gc()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,6 +118,21 @@ def joined(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(values) + b"\n" if values else b"", np.uint8), starts
 
 
+def text_chunks(column: pa.Array, limit: int = 4 << 20):
+    """(from, to, values): the UTF-8 bytes (null: empty) of consecutive rows, about ``limit`` of them in all.
+
+    Only one chunk's values are Python objects at a time; one longer value stands alone.
+    """
+    raw = column.cast(pa.large_binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(raw):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield at, to, [v or b"" for v in raw.slice(at, to - at).to_pylist()]
+        at = to
+
+
 def chunks(values: list[bytes], limit: int = 4 << 20):
     """Index ranges of consecutive values of about ``limit`` bytes in all (one longer value stands alone)."""
     at, size = 0, 0

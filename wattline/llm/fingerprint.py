@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import SpanHash, chunks, joined, mix, parts, texts, word_spans
+from wattline.llm.common import SpanHash, joined, mix, parts, text_chunks, texts, word_spans
 
 TABLES = 3
 CELLS = 24  # of a stored fingerprint
@@ -173,11 +173,10 @@ def edited(text: str, following: str) -> str:
 
 def _rows(docs: list[tuple], before: str) -> Iterator[tuple]:
     """Output rows of (doc_id, text) in rising order; the document below the first is ``before``."""
-    size = [(t.encode()) for _, t in docs]
-    for lo, hi in chunks(size, 2 << 20):
+    for lo, hi, values in text_chunks(pa.array([t for _, t in docs], pa.large_string()), 2 << 20):
         below = [before if i == 0 else docs[i - 1][1] for i in range(lo, hi)]
         changed = [edited(t, n).encode() for (_, t), n in zip(docs[lo:hi], below)]
-        own = piece_digests([below[0].encode()] + size[lo:hi])  # value i + 1 is document lo + i
+        own = piece_digests([below[0].encode()] + values)  # value i + 1 is document lo + i
         new = piece_digests(changed)
         n = hi - lo
         one, to = np.arange(1, n + 1), np.arange(n)

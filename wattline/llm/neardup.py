@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import Scratch, SpanHash, chunks, fold_ascii, joined, mix, texts, word_spans
+from wattline.llm.common import Scratch, SpanHash, fold_ascii, joined, mix, text_chunks, texts, word_spans
 
 BANDS, ROWS, BITS = 32, 4, 4
 PERMUTATIONS = BANDS * ROWS
@@ -134,9 +134,9 @@ def signed(docs: DataFrame, size: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, values = b.column(0).to_pylist(), [t.encode() for t in b.column(1).to_pylist()]
-            for lo, hi in chunks(values):
-                h, at = shingle_sets(values[lo:hi], size)
+            ids = b.column(0).to_pylist()
+            for lo, hi, values in text_chunks(b.column(1)):
+                h, at = shingle_sets(values, size)
                 n = np.diff(at)
                 least = minima(h, at)
                 sig, keys = iter(packed(least).tolist()), iter(band_keys(least).tolist())
@@ -153,9 +153,8 @@ def full_sets(docs: DataFrame, size: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [t.encode() for t in b.column(0).to_pylist()]
-            for lo, hi in chunks(values):
-                h, at = shingle_sets(values[lo:hi], size)
+            for lo, hi, values in text_chunks(b.column(0)):
+                h, at = shingle_sets(values, size)
                 sets = [h[at[i]:at[i + 1]] for i in range(hi - lo) if at[i + 1] > at[i]]
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()),
                                                   pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"])
@@ -170,8 +169,8 @@ def fine_signatures(sets: DataFrame) -> DataFrame:
         multiply = (mix(np.arange(20_001, FINE + 20_001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         add = (mix(np.arange(40_001, FINE + 40_001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
         for b in batches:
-            for lo, hi in chunks([v.as_py() for v in b.column(1)], 1 << 20):
-                values = [np.frombuffer(v.as_py(), np.uint64) for v in b.column(1).slice(lo, hi - lo)]
+            for lo, hi, sets_ in text_chunks(b.column(1), 1 << 20):
+                values = [np.frombuffer(v, np.uint64) for v in sets_]
                 x = (np.concatenate(values) >> np.uint64(32)).astype(np.uint32)
                 start = np.cumsum([0, *map(len, values)])[:-1]
                 bits = np.empty((hi - lo, FINE), np.uint8)
