@@ -3,17 +3,18 @@
 A byte goes if some string of LENGTH bytes that covers it also starts elsewhere.  The
 suffixes that could start such a string are sorted into ever finer buckets:
 
-1. q-gram buckets.  Every string of LENGTH bytes is put into the bucket of its least
-   GRAM-byte piece by hash.  Only those pieces are counted over the corpus (one in
-   about LENGTH / 2 bytes); a string in a bucket of one piece is unique.
+1. q-gram buckets.  Every string of LENGTH bytes is put into the buckets of its least
+   GRAM-byte pieces under two hash orders.  Only those pieces are counted over the corpus
+   (two in about LENGTH / 2 bytes); a string in a bucket of one piece is unique.
 2. Refinement by later bucket identifiers.  The strings left are cut into segments at
    places named by their own bytes, so copies are cut alike.  A segment's name is the
    hash of its whole extent, from its first string's start to its last one's end; a
    name that occurs twice settles all its strings.  A segment's pointer is the bucket
-   of the bytes at its end, which all its strings share: where no other segment has
-   that pointer, all its strings are unique.
-3. Only segments with a shared pointer of which some are not settled go on: their
-   strings are named one by one, and equal names are equal strings.
+   of the bytes after the cut at its end as far as all its strings reach: where no other
+   segment has that pointer, all its strings are unique.
+3. Only where some segments with a shared pointer are not settled do strings go on: those
+   of the segments not settled, and of one segment for each settled name, are named one
+   by one, and equal names are equal strings.
 
 Names are 128 bits, computed from prefix sums where the text is; names stand for the
 ranks of a suffix array, so that a refinement round needs no sort of all positions.
@@ -31,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import Scratch, SpanHash, chunks, joined
+from wattline.llm.common import Scratch, SpanHash, joined, mix, text_chunks
 
 LENGTH, GRAM = 400, 32
 CUT, CUT_BYTES, REACH = 24, 16, 256  # one place in CUT is a cut; a string looks for one within REACH
-CHUNK = 2 << 20
+STEP = 32  # strings of a segment begin in the same STEP bytes before their cut
+CHUNK = 1 << 19
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -64,8 +66,9 @@ class Batch:
         np.add.at(room, self.starts[:-1][whole] + size[whole] - length + 1, -1)
         n = max(len(self.data) - length + 1, 0)
         self.valid = np.cumsum(room)[:n] > 0
-        self.grams = self.hash.every(min(GRAM, length))
-        self.least = sliding_least(self.grams, length - min(GRAM, length) + 1)  # of each string
+        self.grams = [self.hash.every(min(GRAM, length))]
+        self.grams.append(mix(self.grams[0] + np.uint64(1)))
+        self.least = [sliding_least(g, length - min(GRAM, length) + 1) for g in self.grams]  # of each string
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, "right") - 1
@@ -74,48 +77,48 @@ class Batch:
 def anchors(values: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """Per value, the buckets of its strings; a piece that occurs more than once in the value is given twice."""
     b = Batch(values, length)
-    at = np.flatnonzero(b.valid)
-    change = np.ones(len(at), bool)
-    change[1:] = (b.least[at][1:] != b.least[at][:-1]) | (at[1:] != at[:-1] + 1)
-    at = at[change]
-    out = []
-    cut = np.searchsorted(at, b.starts)
-    for i in range(len(values)):
-        v = np.unique(b.least[at[cut[i]:cut[i + 1]]])
-        if len(v):
-            own = b.grams[b.starts[i]:b.starts[i + 1] - 1 - min(GRAM, length) + 1]
-            own = np.sort(own[own <= v[-1]])
-            n = np.searchsorted(own, v, "right") - np.searchsorted(own, v)
-            v = np.concatenate([v, v[n > 1]])
-        out.append(v)
-    return out
-
-
-def segments(b: Batch, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, after): the strings starting in first..last belong together; ``after`` is the place of their pointer.
+    valid = np.flatnonzero(b.valid)
+    out: list[list] = [[] for _ in values]
+    for grams, least in zip(b.grams, b.least):
+        change = np.ones(len(valid), bool)
+        change[1:] = (least[valid][1:] != least[valid][:-1]) | (valid[1:] != valid[:-1] + 1)
+        at = valid[change]
+        cut = np.searchsorted(at, b.starts)
+        for i in range(len(values)):
+            v = np.unique(least[at[cut[i]:cut[i + 1]]])
+            if len(v):
+                own = grams[b.starts[i]:b.starts[i + 1] - 1 - min(GRAM, length) + 1]
+                own = np.sort(own[own <= v[-1]])
+                n = np.searchsorted(own, v, "right") - np.searchsorted(own, v)
+                out[i] += [v, v[n > 1]]
+    return [np.concatenate(v) if v else np.zeros(0, np.uint64) for v in out]
+
+
+def segments(b: Batch, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, after, upto): the strings starting in first..last belong together; the bytes after..upto point on.
 
     ``shared``: the (sorted) buckets that hold more than one piece; other strings are unique and in no segment.
     """
     at = np.flatnonzero(b.valid)
-    if not len(at) or not len(shared):
-        return (np.zeros(0, np.int64),) * 3
-    least = b.least[at]
-    change = np.ones(len(at), bool)
-    change[1:] = least[1:] != least[:-1]
-    run = np.flatnonzero(change)
-    keep = np.isin(least[run], shared)
-    at = at[np.repeat(keep, np.diff(np.append(run, len(at))))]
+    for least_of in b.least:
+        least = least_of[at]
+        change = np.ones(len(at), bool)
+        change[1:] = least[1:] != least[:-1]
+        run = np.flatnonzero(change)
+        at = at[np.repeat(np.isin(least[run], shared), np.diff(np.append(run, len(at))))]
     if not len(at):
-        return (np.zeros(0, np.int64),) * 3
+        return (at,) * 4
     place = np.flatnonzero((b.hash.every(CUT_BYTES) >> np.uint64(20)) % np.uint64(CUT) == 0)
-    nxt = np.searchsorted(place, at, "right")
-    after = np.append(place, np.iinfo(np.int64).max)[nxt]
-    after = np.where(after - at <= min(REACH, b.length - CUT_BYTES), after, at)  # none near: a string by itself
+    after = np.append(place, np.iinfo(np.int64).max)[np.searchsorted(place, at, "right")]
+    reach = min(REACH, b.length - CUT_BYTES)
+    near = after - at <= reach
+    step = np.where(near, (after - at - 1) // STEP, -1)
+    after = np.where(near, after, at)  # no cut near: a string by itself, its pointer is all of it
     new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (after[1:] != after[:-1])
+    new[1:] = (at[1:] != at[:-1] + 1) | (after[1:] != after[:-1]) | (step[1:] != step[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return at[first], at[last], after[first]
+    return at[first], at[last], after[first], (after + b.length - np.minimum(STEP * (step + 1), reach))[first]
 
 
 def names(b: Batch, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +168,10 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ..
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("_k", pa.int64()), ("t", pa.binary()), ("grams", pa.list_(pa.int64()))])
         for batch in batches:
-            ks, values = batch.column(0).to_pylist(), [t.encode() for t in batch.column(1).to_pylist()]
-            for lo, hi in chunks(values, CHUNK):
-                got = anchors(values[lo:hi], length)
-                yield _arrow([(k, hashlib.blake2b(v, digest_size=16).digest(), g.view(np.int64).tolist())
-                              for k, v, g in zip(ks[lo:hi], values[lo:hi], got) if len(g)], schema)
+            ks = batch.column(0).to_pylist()
+            for lo, hi, values in text_chunks(batch.column(1), CHUNK):
+                yield _arrow([(k, hashlib.blake2b(v, digest_size=16).digest(), g.view(np.int64))
+                              for k, v, g in zip(ks[lo:hi], values, anchors(values, length)) if len(g)], schema)
 
     info = keep.table("info", d.select("_k", "text").mapInArrow(first_pass, "_k long, t binary, grams array<long>"))
     same = keep.table("same", info.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("one")).where(F.col("n") > 1))
@@ -189,40 +191,38 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ..
 
     def pieces(batch: pa.RecordBatch):
         """(batch of texts, segments, their ordinals within their text, the texts' rows)."""
-        values = [t.encode() for t in batch.column(1).to_pylist()]
-        for lo, hi in chunks(values, CHUNK):
-            b = Batch(values[lo:hi], length)
+        for lo, hi, values in text_chunks(batch.column(1), CHUNK):
+            b = Batch(values, length)
             flagged = batch.column(2).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            first, last, after = segments(b, np.unique(flagged))
+            first, last, after, upto = segments(b, np.unique(flagged))
             who = b.owner(first)
             nth = np.arange(len(first)) - np.searchsorted(who, who)
-            yield b, first, last, after, who, nth, lo
+            yield b, first, last, b.hash(after, upto), who, nth, lo
 
     def name_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ks = batch.column(0).to_numpy()
-            for b, first, last, after, who, nth, lo in pieces(batch):
+            for b, first, last, pointer, who, nth, lo in pieces(batch):
                 h1, h2 = names(b, first, last + length)
-                alone = after == first
-                # a string by itself points to its own bytes
-                pointer = b.hash(after, np.where(alone, after + length, after + length - min(REACH, length - CUT_BYTES)))
                 yield pa.RecordBatch.from_arrays([pa.array(ks[lo + who]), pa.array(nth.astype(np.int32)), pa.array(h1), pa.array(h2),
                                                   pa.array(pointer.view(np.int64))], names=["_k", "nth", "h1", "h2", "pointer"])
 
     seg = keep.table("segments", open_docs.mapInArrow(name_segments, "_k long, nth int, h1 long, h2 long, pointer long"))
-    twice = seg.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h1", "h2", F.lit(True).alias("settled"))
-    seg = seg.join(twice, ["h1", "h2"], "left").select("_k", "nth", "pointer", F.coalesce("settled", F.lit(False)).alias("settled"))
-    seg = keep.table("settled", seg)
+    twice = seg.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "nth")).alias("one")).where(F.col("n") > 1).drop("n")
+    seg = keep.table("settled", seg.join(twice, ["h1", "h2"], "left").select(
+        "_k", "nth", "pointer", F.col("one").isNotNull().alias("settled"), F.coalesce(F.struct("_k", "nth") == F.col("one"), F.lit(False)).alias("first")))
+    keep.drop("segments")
     unsettled = seg.groupBy("pointer").agg(F.count(F.lit(1)).alias("n"), F.bool_and("settled").alias("all")).where(
         (F.col("n") > 1) & ~F.col("all")).select("pointer", F.lit(True).alias("open"))
+    lists = {"settled": F.col("settled"), "open": F.col("open") & ~F.col("settled"), "example": F.col("open") & F.col("first")}
     of_doc = keep.table("of_doc", seg.join(unsettled, "pointer", "left").where(F.col("settled") | F.col("open")).groupBy("_k").agg(
-        F.collect_list(F.when(F.col("settled"), F.col("nth"))).alias("settled"), F.collect_list(F.when(F.col("open"), F.col("nth"))).alias("open")))
-    keep.drop("segments", "settled")
+        *[F.collect_list(F.when(c, F.col("nth"))).alias(n) for n, c in lists.items()]))
+    keep.drop("settled")
     told = keep.table("told", open_docs.join(of_doc, "_k"))
 
     def chosen(batch: pa.RecordBatch, column: int):
         """Starts of the strings of the segments listed in a column."""
-        for b, first, last, after, who, nth, lo in pieces(batch):
+        for b, first, last, pointer, who, nth, lo in pieces(batch):
             part = batch.column(column).slice(lo, len(b.values))
             rows = np.repeat(np.arange(len(b.values)), np.diff(part.offsets.to_numpy()))
             want = np.searchsorted(who, rows) + part.flatten().to_numpy(zero_copy_only=False)
@@ -233,14 +233,16 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ..
     def name_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ks = batch.column(0).to_numpy()
-            for b, rows, starts, lo in chosen(batch, 4):
-                h1, h2 = names(b, starts, starts + length)
-                yield pa.RecordBatch.from_arrays([pa.array(ks[lo + rows]), pa.array((starts - b.starts[rows]).astype(np.int64)), pa.array(h1), pa.array(h2)],
-                                                 names=["_k", "at", "h1", "h2"])
-
-    strings = keep.table("strings", told.where(F.size("open") > 0).mapInArrow(name_strings, "_k long, at long, h1 long, h2 long"))
-    more = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    found = keep.table("found", strings.join(more, ["h1", "h2"], "left_semi").groupBy("_k").agg(F.collect_list("at").alias("at")))
+            for column, times in ((4, 1), (5, 2)):  # an example of a settled segment stands for two at least
+                for b, rows, starts, lo in chosen(batch, column):
+                    h1, h2 = names(b, starts, starts + length)
+                    yield pa.RecordBatch.from_arrays([pa.array(ks[lo + rows]), pa.array((starts - b.starts[rows]).astype(np.int32)), pa.array(h1), pa.array(h2),
+                                                      pa.array(np.full(len(rows), times, np.int32))], names=["_k", "at", "h1", "h2", "times"])
+
+    named = told.where((F.size("open") > 0) | (F.size("example") > 0)).mapInArrow(name_strings, "_k long, at int, h1 long, h2 long, times int")
+    strings = keep.table("strings", named)
+    more = strings.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where(F.col("n") > 1)
+    found = keep.table("found", strings.where("times = 1").join(more, ["h1", "h2"], "left_semi").groupBy("_k").agg(F.collect_list("at").alias("at")))
     keep.drop("strings")
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +275,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [kept_bytes(t.encode(), s).decode(errors="ignore") if s is None or s else t
-                    for t, s in zip(b.column(names.index("text")).to_pylist(), b.column(len(names)).to_pylist())]
+            kept, spans = [], b.column(len(names)).to_pylist()
+            for lo, hi, values in text_chunks(b.column(names.index("text"))):
+                kept += [kept_bytes(v, s).decode(errors="ignore") for v, s in zip(values, spans[lo:hi])]
             cols = list(b.columns[:len(names)])
             cols[names.index("text")] = pa.array(kept, cols[names.index("text")].type)
             if "n_chars" in names:
@@ -296,11 +299,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, text, spans in zip(*(c.to_pylist() for c in b.columns)):
-                value = text.encode()
-                kept = kept_bytes(value, spans)
-                rows.append((doc, len(value), len(value) - len(kept), 1 if spans is None else len(spans) // 2, hashlib.sha256(kept).hexdigest()))
+            rows, ids, spans = [], b.column(0).to_pylist(), b.column(2).to_pylist()
+            for lo, hi, values in text_chunks(b.column(1)):
+                for doc, value, s in zip(ids[lo:hi], values, spans[lo:hi]):
+                    kept = kept_bytes(value, s)
+                    rows.append((doc, len(value), len(value) - len(kept), 1 if s is None else len(s) // 2, hashlib.sha256(kept).hexdigest()))
             yield _arrow(rows, schema)
 
     return repeated_strings(d, length).mapInArrow(run, REMOVED)
