@@ -131,15 +131,3 @@ def text_chunks(column: pa.Array, limit: int = 4 << 20):
         to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield at, to, [v or b"" for v in raw.slice(at, to - at).to_pylist()]
         at = to
-
-
-def chunks(values: list[bytes], limit: int = 4 << 20):
-    """Index ranges of consecutive values of about ``limit`` bytes in all (one longer value stands alone)."""
-    at, size = 0, 0
-    for i, v in enumerate(values):
-        if size and size + len(v) > limit:
-            yield at, i
-            at, size = i, 0
-        size += len(v)
-    if at < len(values):
-        yield at, len(values)

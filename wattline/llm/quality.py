@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import Scratch, SpanHash, chunks, is_space, joined, mix, texts, word_spans
+from wattline.llm.common import Scratch, SpanHash, is_space, joined, mix, text_chunks, texts, word_spans
 
 DIM = 4096
 VOTE_VALUE = 0.6
@@ -139,15 +139,15 @@ def features_of(values: list[bytes], votes: np.ndarray) -> Iterator[np.ndarray]:
         yield x
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 4.0, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.4, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression with soft labels, full-batch with momentum: the same weights on every run."""
-    w, b, vw, vb = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
+    w, vw, b, vb = np.zeros(x.shape[1], x.dtype), np.zeros(x.shape[1], x.dtype), 0.0, 0.0
     for _ in range(rounds if len(y) else 0):
-        err = 1 / (1 + np.exp(-np.clip(x @ w + b, -500, 500))) - y
-        vw = 0.9 * vw - rate * 0.1 * (x.T @ err / len(y) + ridge * w)
-        vb = 0.9 * vb - rate * 0.1 * err.mean()
+        err = (1 / (1 + np.exp(-np.clip(x @ w + b, -80, 80))) - y).astype(x.dtype)
+        vw = (0.9 * vw - rate * (err @ x / len(y) + ridge * w)).astype(x.dtype)
+        vb = 0.9 * vb - rate * float(err.mean(dtype=np.float64))
         w, b = w + vw, b + vb
-    return w, b
+    return w.astype(np.float64), b
 
 
 @dataclass
@@ -160,9 +160,9 @@ class Classifier:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     for b in batches:
-        ids, values = b.column(0).to_pylist(), [t.encode() for t in b.column(1).to_pylist()]
-        for lo, hi in chunks(values):
-            yield ids[lo:hi], values[lo:hi]
+        ids = b.column(0).to_pylist()
+        for lo, hi, values in text_chunks(b.column(1)):
+            yield ids[lo:hi], values
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
@@ -183,14 +183,17 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, values in _batches(batches):
             v = votes_of(values)
-            x = [f.astype("<f4").tobytes() for f in features_of(values, v)]
+            x = [f.astype("<f2").tobytes() for f in features_of(values, v)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pattern(v)), pa.array(x, pa.binary())], names=["doc_id", "votes", "x"])
 
     chosen = d.where(order <= F.lit(last)) if last is not None else d.limit(0)
     rows = chosen.mapInArrow(vectors, "doc_id long, votes string, x binary").limit(sample).collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["votes"], bytes(r["x"])))
-    x = np.array([np.frombuffer(bytes(r["x"]), "<f4") for r in rows], np.float64).reshape(len(rows), DIM)
-    w, b = fit_linear(x, np.array([posterior[r["votes"]] for r in rows]))
+    x, y = np.empty((len(rows), DIM), np.float32), np.array([posterior[r["votes"]] for r in rows], np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(bytes(r["x"]), "<f2")
+    del rows
+    w, b = fit_linear(x, y)
     return Classifier(posterior, share, w, b)
 
 
@@ -221,9 +224,8 @@ def keep_good(docs: DataFrame, model: Classifier, least: float = 0.5) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = [(t or "").encode() for t in b.column(at).to_pylist()]
-            for lo, hi in chunks(values):
-                yield b.slice(lo, hi - lo).filter(pa.array(_scores(model, values[lo:hi], least)[3]))
+            for lo, hi, values in text_chunks(b.column(at)):
+                yield b.slice(lo, hi - lo).filter(pa.array(_scores(model, values, least)[3]))
 
     return docs.mapInArrow(run, docs.schema)
 
