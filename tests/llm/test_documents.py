@@ -150,6 +150,26 @@ def test_links_between_members_that_the_leader_misses(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(brute.near_groups(rows))
 
 
+def test_estimates_of_short_sets_keep_every_link(spark):
+    """Pairs of a few shingles at a similarity of exactly 0.8, by (common, only left, only right)."""
+    rnd, rows, pairs_ = np.random.default_rng(4), [], []
+    for common, left, right in ((4, 1, 0), (8, 1, 1), (8, 2, 0), (12, 3, 0), (16, 4, 0), (24, 6, 0)):
+        for _ in range(200):
+            x = rnd.permutation(np.unique(rnd.integers(0, 1 << 63, common + left + right, dtype=np.uint64)))
+            pairs_.append((np.sort(x[:common + left]), np.sort(np.delete(x, np.s_[common:common + left]))))
+    for k, (a, b) in enumerate(pairs_):
+        rows += [(f"{k}a".encode(), a.tobytes()), (f"{k}b".encode(), b.tobytes())]
+    sets = [np.frombuffer(v, np.uint64) for _, v in rows]
+    sigs = neardup.packed(neardup.minima(np.concatenate(sets), np.cumsum([0, *map(len, sets)])))
+    fine = dict(tuple(r) for r in neardup.fine_signatures(spark.createDataFrame(rows, "cls binary, shingles binary").coalesce(1)).collect())
+    got = spark.createDataFrame([(fine[rows[i][0]], fine[rows[i + 1][0]], sigs[i].tolist(), sigs[i + 1].tolist()) for i in range(0, len(rows), 2)],
+                                "fa array<long>, fb array<long>, a array<long>, b array<long>").select(
+        neardup.fine_estimate("fa", "fb").alias("fine"), neardup.estimate("a", "b").alias("rough")).toPandas()
+    assert (got.fine >= neardup.FINE_FROM).all() and (got.rough >= neardup.ESTIMATE_FROM).all()
+    for i in range(0, len(got), 200):  # the spread is that of independent positions, for sets of any size
+        assert got.fine[i:i + 200].std() == pytest.approx(2 * (0.1 * 0.9 / neardup.FINE) ** 0.5, rel=0.3)
+
+
 def test_keep_one_of_each_group(awkward):
     kept = neardup.keep_one(awkward)
     assert kept.columns == awkward.columns

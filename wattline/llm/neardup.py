@@ -2,8 +2,10 @@
 
 Documents with the same shingle set form a class, and only classes are compared.
 Each class has PERMUTATIONS minima; bands of them give candidate buckets, and the low
-BITS of each, packed, give an estimate of the similarity: m matching positions of k
-estimate (m / k - c) / (1 - c), c = 2 ** -BITS being the chance of an accidental match.
+BITS of each after a finaliser, packed, give an estimate of the similarity: m matching
+positions of k estimate (m / k - c) / (1 - c), c = 2 ** -BITS being the chance of an
+accidental match.  Without the finaliser the low bits of a minimum are those of its
+shingle, and two shingles would match by accident in all positions or in none.
 Candidates whose estimate is not far below the limit are verified on full sets.
 
 No bucket is expanded into its pairs.  Each first meets its leader only, the member
@@ -16,7 +18,8 @@ members are a little too unlike would then give very many pairs to verify, so he
 estimate is finer, from one bit each of FINE minima.
 
 At a similarity of 0.8 a pair shares none of 32 bands of 4 with a chance of 5e-8; its
-estimate falls below ESTIMATE_FROM, or the fine one below FINE_FROM, with one of 1e-6.
+estimate falls below ESTIMATE_FROM with one of 4e-6, the fine one below FINE_FROM with
+one of 1e-6, whatever the size of the sets.
 """
 
 from __future__ import annotations
@@ -94,10 +97,17 @@ def minima(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def scrambled(least: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser (murmur3): the low bits of multiply-and-add minima depend on the low bits of the shingle alone."""
+    x = (least ^ (least >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
 def packed(least: np.ndarray) -> np.ndarray:
-    """The low BITS of the minima, 64 // BITS to a word."""
+    """The low BITS of the scrambled minima, 64 // BITS to a word."""
     per = 64 // BITS
-    low = (least & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(least), -1, per)
+    low = (scrambled(least) & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(least), -1, per)
     return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
 
 
@@ -163,7 +173,7 @@ def full_sets(docs: DataFrame, size: int = 4) -> DataFrame:
 
 
 def fine_signatures(sets: DataFrame) -> DataFrame:
-    """(cls, fine): the lowest bits of FINE further minima of every set, packed."""
+    """(cls, fine): the lowest bits of FINE further scrambled minima of every set, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multiply = (mix(np.arange(20_001, FINE + 20_001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -175,7 +185,7 @@ def fine_signatures(sets: DataFrame) -> DataFrame:
                 start = np.cumsum([0, *map(len, values)])[:-1]
                 bits = np.empty((hi - lo, FINE), np.uint8)
                 for i in range(FINE):
-                    bits[:, i] = np.minimum.reduceat(x * multiply[i] + add[i], start) & np.uint32(1)
+                    bits[:, i] = scrambled(np.minimum.reduceat(x * multiply[i] + add[i], start)) & np.uint32(1)
                 packed_ = np.packbits(bits, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(packed_.tolist(), pa.list_(pa.int64()))], names=["cls", "fine"])
 
