@@ -274,6 +274,47 @@ def test_bin_completion_beats_best_fit():
     assert packing.complete_bin(left, 7, 20, 5000) == [(5, 1), (4, 2)]  # wastes none
 
 
+@pytest.mark.parametrize("times", [1, 2, 7, 1000])
+def test_branch_and_bound_beats_the_fullest_fillings(times):
+    """Best fit and the fullest filling per longest length both need 4 sequences where 3 are enough."""
+    counts = dict.fromkeys((1100, 1090, 1080, 720, 700, 500, 448, 258, 248), times)
+    plan, proven = packing.best_plan(counts)
+    used = Counter()
+    for pattern, n in plan:
+        assert sum(s * c for s, c in pattern) <= 2048
+        for s, c in pattern:
+            used[s] += c * n
+    assert used == counts and proven and sum(n for _, n in plan) == 3 * times
+
+
+def test_plans_are_minimal_on_small_tables():
+    import random
+
+    def least(items, capacity):
+        best = len(items)
+
+        def rec(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            for k in {b: k for k, b in enumerate(bins) if b + items[i] <= capacity}.values():
+                rec(i + 1, [b + items[i] * (j == k) for j, b in enumerate(bins)])
+            rec(i + 1, [*bins, items[i]])
+
+        rec(0, [])
+        return best
+
+    rnd = random.Random(7)
+    for trial in range(600):
+        capacity = rnd.choice([20, 50, 100])
+        items = sorted((rnd.randrange(capacity // 6, capacity * 2 // 3) for _ in range(rnd.randrange(1, 10))), reverse=True)
+        plan, proven = packing.best_plan(Counter(items), capacity)
+        assert proven and sum(n for _, n in plan) == least(items, capacity), (capacity, items)
+
+
 def test_word_ids_equal_the_tokenizer():
     words = packing.WordIds(WORD, most=50)
     odd = ["It's İstanbul <|endoftext|>. x<|startoftext|>,y ... é. ΣΣ.  ,. QÉ, don't. 12, a1.", "\x1c f. 'S. ''ll, '", "", " ", "\n\n", ".", ",", "A.",

@@ -2,21 +2,26 @@
 
 Documents become token ids; pieces of at most ``capacity`` ids are packed into
 sequences.  Only the histogram of piece lengths (at most ``capacity`` rows)
-reaches the driver.  The search works on length classes: around the largest
-length left it enumerates undominated fillings, the best-fit filling being the
-incumbent, and applies the winner as often as the class counts allow.  Each
-application empties a class, so a plan has at most ``capacity`` patterns, each
-of at most sqrt(2 * capacity) different lengths: a proven bound for what the
-tasks receive.  Every piece then finds its place from its rank in its length
-class; a class is ranked in salted parts, so one hot length is no single task.
+reaches the driver.  The search works on length classes: the incumbent is the better of
+the best-fit plan and the plan of the fullest fillings found.  Where it needs more
+sequences than a lower bound says, ``branch`` goes depth first over the undominated
+fillings of the largest class left and over how often each is applied, pruned by waste
+against the incumbent, until nothing is left to try (the plan is then proven minimal)
+or STEPS steps are done (the incumbent stands, unproven).  A plan has at most
+``capacity`` + STEPS patterns, each of at most sqrt(2 * capacity) different lengths: a
+proven bound for what the tasks receive.  Every piece then finds its place from its
+rank in its length class; a class is ranked in salted parts, so one hot length is no
+single task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,7 @@ from pyspark.sql import functions as F
 from wattline.llm.common import Scratch, parts, texts
 
 CAPACITY = 2048
+STEPS = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -209,12 +215,148 @@ def complete_bin(left: np.ndarray, top: int, capacity: int, nodes: int) -> list[
     return best
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 2000) -> list[tuple[list[tuple[int, int]], int]]:
-    """(pattern, times): a packing of the histogram ``counts`` (length -> pieces).
+def lower_bound(left: np.ndarray, capacity: int) -> int:
+    """Sequences that the histogram ``left`` needs at least (Martello and Toth's L2).
 
-    The plain best-fit plan is the incumbent; the completed plan replaces it if it
-    needs fewer sequences.  The search is skipped where best fit meets the bound
-    ceil(sum / capacity), since nothing can be better.
+    For every a up to half the capacity: pieces longer than half lie apart, those longer
+    than capacity - a leave no room for a piece of a or more, and such pieces need what
+    the others leave over, or further sequences.
+    """
+    n = np.cumsum(left)
+    total = np.cumsum(left * np.arange(capacity + 1))
+    half = capacity // 2
+    a = np.arange(half + 1)
+    large = int(n[capacity] - n[half])
+    beside = capacity * (n[capacity - a] - n[half]) - (total[capacity - a] - total[half])
+    small = total[half] - np.concatenate([[0], total[:half]])
+    return large + max(0, int((-(-(small - beside) // capacity)).max()))
+
+
+def _dominated(left: np.ndarray, inside: dict[int, int], slack: int) -> bool:
+    """Whether a longer piece outside could take the place of one or two of those that join the longest.
+
+    Exchanging them leaves no other sequence longer than before, so a plan with the filling is no better.
+    """
+    out = left.copy()
+    for size, c in inside.items():
+        out[size] -= c
+    for x in inside:
+        if slack and out[x + 1:x + slack + 1].any():
+            return True
+        for y in inside:
+            if (y < x or y == x and inside[x] > 1) and out[x + y:x + y + slack + 1].any():
+                return True
+    return False
+
+
+def fillings(left: np.ndarray, top: int, capacity: int, allowed: int) -> Iterator[list[tuple[int, int]] | None]:
+    """The undominated fillings beside a piece of length ``top`` that waste at most ``allowed``; None is a step of the search without one."""
+    room = capacity - top
+    rest = left.copy()
+    rest[top] -= 1
+    sizes = [int(s) for s in np.flatnonzero(rest[:room + 1])][::-1]
+    have = [int(rest[s]) for s in sizes]
+    below = np.concatenate([np.cumsum([s * c for s, c in zip(sizes, have)][::-1])[::-1], [0]]).tolist()
+    stack: list[tuple[int, int, list]] = [(0, 0, [])]
+    while stack:
+        i, fill, taken = stack.pop()
+        while i < len(sizes) and sizes[i] > room - fill:
+            i += 1
+        if fill + below[i] < room - allowed:
+            yield None
+        elif i == len(sizes):
+            yield None if _dominated(rest, dict(taken), room - fill) or _fits(rest, taken, room - fill) else taken
+        else:
+            yield None
+            for c in range(min(have[i], (room - fill) // sizes[i]) + 1):
+                stack.append((i + 1, fill + c * sizes[i], taken + [(sizes[i], c)] if c else taken))
+
+
+def _fits(rest: np.ndarray, taken: list[tuple[int, int]], slack: int) -> bool:
+    """Whether a further piece fits, so that the filling is dominated."""
+    used = dict(taken)
+    return any(rest[s] > used.get(int(s), 0) for s in np.flatnonzero(rest[:slack + 1]))
+
+
+def branch(counts: dict[int, int], capacity: int, incumbent: list, bins: int, steps: int) -> tuple[list, bool]:
+    """(plan, proven): the incumbent of ``bins`` sequences or a better plan; proven says that none needs fewer.
+
+    A node is what is left; its branches are the undominated fillings of the largest length
+    left, each applied as often as the class counts allow, then less often.
+    """
+    start = np.zeros(capacity + 1, np.int64)
+    for size, c in counts.items():
+        start[size] = c
+    bound = lower_bound(start, capacity)
+    best, least, done = incumbent, bins, 0
+    seen: dict[bytes, int] = {}
+
+    def key(left: np.ndarray) -> bytes:
+        return hashlib.blake2b(left.tobytes(), digest_size=16).digest()
+
+    def branches(left: np.ndarray, used: int) -> Iterator[tuple[list[tuple[int, int]], int] | None]:
+        top = int(np.flatnonzero(left)[-1])
+        total = int((left * np.arange(capacity + 1)).sum())
+        again = []
+        for fill in fillings(left, top, capacity, (least - 1 - used) * capacity - total):
+            if fill is None:
+                yield None
+                continue
+            bin_ = {top: 1}
+            for size, c in fill:
+                bin_[size] = bin_.get(size, 0) + c
+            pattern = sorted(bin_.items(), reverse=True)
+            most = min(int(left[size]) // c for size, c in pattern)
+            again.append((pattern, most))
+            yield pattern, most
+        for pattern, most in again:
+            for times in range(most - 1, 0, -1):
+                yield pattern, times
+
+    if least <= bound or not counts:
+        return best, True
+    path: list[tuple[list, int]] = []
+    stack = [(start, 0, branches(start, 0))]
+    while stack and least > bound:
+        left, used, more = stack[-1]
+        step = next(more, False)
+        if step is False:
+            stack.pop()
+            if path:
+                path.pop()
+            continue
+        done += 1
+        if done > steps:
+            return best, False
+        if step is None:
+            continue
+        pattern, times = step
+        after, now = left.copy(), used + times
+        for size, c in pattern:
+            after[size] -= c * times
+        if not after.any():
+            if now < least:
+                best, least = [*path, step], now
+            continue
+        if now + lower_bound(after, capacity) >= least:
+            continue
+        name = key(after)
+        if seen.get(name, now + 1) <= now:
+            continue
+        seen[name] = now
+        path.append(step)
+        stack.append((after, now, branches(after, now)))
+    return best, True
+
+
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 2000, steps: int = STEPS, deep: int = 2) -> tuple[list[tuple[list[tuple[int, int]], int]], bool]:
+    """((pattern, times), proven): a packing of the histogram ``counts`` (length -> pieces), and whether none needs fewer sequences.
+
+    The plain best-fit plan is the first incumbent; the plan of the fullest fillings, each
+    sought with ``nodes`` nodes, replaces it if it needs fewer sequences.  With hot lengths so
+    does a plan of the counts divided by d (their common divisor, or the least of them),
+    repeated d times, and of the remainders, planned likewise ``deep`` times.
+    ``branch`` goes on from there.  The search is skipped where the incumbent meets the lower bound.
     """
     def build(search: bool) -> tuple[int, list]:
         left = np.zeros(capacity + 1, np.int64)
@@ -234,13 +376,30 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 200
             bins += times
         return bins, plan
 
-    bound = -(-sum(s * c for s, c in counts.items()) // capacity)
+    start = np.zeros(capacity + 1, np.int64)
+    for size, c in counts.items():
+        start[size] = c
+    bound = lower_bound(start, capacity)
     bins, plan = build(False)
     if bins > bound:
         more, other = build(True)
         if more < bins:
-            plan = other
-    return plan
+            bins, plan = more, other
+    shares = {gcd(*counts.values()), min(counts.values())} - {1} if bins > bound and deep else ()
+    for d in sorted(shares):
+        few, rest = {s: c // d for s, c in counts.items()}, {s: c % d for s, c in counts.items() if c % d}
+        other = [(p, t * d) for p, t in best_plan(few, capacity, nodes, nodes, deep - 1)[0]] + best_plan(rest, capacity, nodes, nodes, deep - 1)[0]
+        more = sum(t for _, t in other)
+        if more < bins:
+            bins, plan = more, other
+        if bins <= bound:
+            break
+    return branch(counts, capacity, plan, bins, steps)
+
+
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 2000, steps: int = STEPS) -> list[tuple[list[tuple[int, int]], int]]:
+    """The packing of ``best_plan``."""
+    return best_plan(counts, capacity, nodes, steps)[0]
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, last_id: int = 0, nodes: int = 2000) -> DataFrame:
