@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: five stages, each on all that the one before kept.
 
 1. quality classifier: documents that it rejects go;
-2. MinHash near-dedup: one document of each group stays;
+2. MinHash near-dedup on five-word shingles at 0.8: one document of each group stays;
 3. suffix-array dedup: passages of 400 bytes or more that occur elsewhere are cut out;
 4. mixing: small sources are repeated, up to 1.25 times as often as the largest, and
    every document is used at least once;
@@ -26,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, size=5)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

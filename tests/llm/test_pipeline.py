@@ -57,6 +57,16 @@ def test_stages_one_by_one(spark, awkward, no_docs, tmp_path):
         docs = out
 
 
+def test_near_dedup_stage_compares_five_words(spark):
+    """Ten spaced edits of 400 words are near copies on four words, not on five; four edits are on both."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base))] + [(n, " ".join(f"e{n}_{i}" if i % 39 == 20 and i < 39 * n else w for i, w in enumerate(base))) for n in (4, 10)]
+    assert [c for _, _, c in brute.near_groups(rows, 4)] == [0, 0, 0]
+    assert [c for _, _, c in brute.near_groups(rows, 5)] == [0, 0, 10]
+    out = corpus_pipeline.minhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert {r["doc_id"] for r in out.collect()} == {0, 10}
+
+
 def test_run_is_the_stages_in_order(spark):
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert got.groupby("sequence_id").length.sum().max() <= 2048 and (got.piece == 0).sum() > 100
