@@ -25,6 +25,16 @@ def test_kmeans_sweep_and_repeatable(spark):
     assert a == b and set(a.values()) == {0, 1, 2, 3}
 
 
+def test_sweep_takes_the_best_of_ten_starts(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, Vectors.dense([math.sin(i * i) * 5, math.cos(3 * i * i) * 5])) for i in range(60)]
+    points = spark.createDataFrame(rows, ["client_id", "features"]).coalesce(1).cache()
+    best = C.best_of(points, 7, 42, 10).summary.trainingCost
+    assert best < C.best_of(points, 7, 42, 1).summary.trainingCost * 0.999  # else the starts make no difference here
+    assert math.isclose(C.sweep_k(points, ks=[7]).first().inertia, best, rel_tol=1e-9)
+
+
 def test_tree_beats_seasonal_on_weekly_pattern(spark):
     base = dt.datetime(2024, 1, 1)
     rows = []

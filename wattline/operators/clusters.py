@@ -39,8 +39,8 @@ def best_of(scaled: DataFrame, k: int, seed: int, starts: int):
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def sweep_k(scaled: DataFrame, ks=range(2, 11), seed: int = 42, starts: int = 1) -> DataFrame:
-    """Inertia (training cost) and silhouette (squared Euclidean) per k."""
+def sweep_k(scaled: DataFrame, ks=range(2, 11), seed: int = 42, starts: int = 10) -> DataFrame:
+    """Inertia (training cost) and silhouette (squared Euclidean) per k, of the best of ``starts`` fits."""
     scaled = scaled.select("client_id", "features").cache()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     rows = []
