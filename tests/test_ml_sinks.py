@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from wattline.operators import clusters as C
 from wattline.operators import forecast as FC
 from wattline.operators import profiles as PR

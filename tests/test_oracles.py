@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF01
+from paths import SF01
 from oracle_compare import compare
 
 ORACLE = sorted(E.oracle_sql())

@@ -151,7 +151,7 @@ def test_unknown_code_dropped_or_labelled(spark):  # D25
 
 
 def test_sum_of_regions_equals_national(spark):
-    from conftest import SF01
+    from paths import SF01
     from wattline.sources import tables as TB
 
     r = TB.readings(spark, SF01)
@@ -161,7 +161,7 @@ def test_sum_of_regions_equals_national(spark):
 
 
 def test_left_joins_keep_row_count(spark):
-    from conftest import SF01
+    from paths import SF01
 
     load = P.load_by(__import__("wattline.sources.tables", fromlist=["x"]).readings(spark, SF01), "region")
     assert P.panel_for(spark, SF01, "region").count() == load.count()
@@ -249,7 +249,7 @@ def test_seasonal_grid_beyond_the_data(spark):  # F1
 
 
 def test_holidays_span_the_data(spark):  # S3
-    from conftest import SF01
+    from paths import SF01
     from wattline.sources import tables as TB
 
     last = spark.read.parquet(f"{SF01}/events.parquet").agg(F.to_date(F.max("ts"))).first()[0]
@@ -272,7 +272,7 @@ def test_refit_and_learned_ensemble(spark):  # F10, F11, F12
 
 
 def test_time_range_reaches_the_scan(spark):  # P5
-    from conftest import SF01
+    from paths import SF01
     from wattline.functions.timefn import raw_range
     from wattline.sources import tables as TB
 

@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from wattline.operators.panel import load_by
 from wattline.sources.tables import readings
 from wattline.streaming.load_stream import run_available, stream_load
