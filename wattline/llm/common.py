@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattline.session import ensure_checkpoint_dir
@@ -33,6 +33,26 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+SALTS = 256  # equal rows may lie in as many ranges
+
+
+def numbered(keep: Scratch, name: str, df: DataFrame, order: list[str], *by: str) -> DataFrame:
+    """``df`` with ``pos``, the place by ``order`` among the rows of equal ``by`` (none of them null), and ``n``, their number.
+
+    The rows are dealt out by ranges of (``by``, ``order``) and written; a row's place is its
+    number in its range plus the counts of the ranges before, so no group is one task.
+    """
+    sort = [*by, *order, "_salt"]
+    spread = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    placed = keep.table(name, spread.repartitionByRange(parts(df.sparkSession), *sort).sortWithinPartitions(*sort)
+                        .withColumn("_row", F.monotonically_increasing_id()).drop("_salt"))
+    placed = placed.withColumn("_part", F.shiftright("_row", 33))
+    per = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("n", F.sum("_n").over(Window.partitionBy(*by)))
+    return placed.join(per, [*by, "_part"]).withColumn("pos", F.col("_before") + F.col("_row") - F.col("_first")).select(*df.columns, "pos", "n")
+
+
 class Scratch:
     """Written tables of one run, in a folder of its own under ``spark.checkpoint.dir``.
 

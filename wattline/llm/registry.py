@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import fingerprint, katz, mixing, neardup, packing, quality, suffix, tokencount, topk, warc
+from wattline.llm import fingerprint, katz, merkle, mixing, neardup, packing, quality, suffix, tokencount, topk, warc
 from wattline.llm.common import read
 
-BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def word_tokenizer() -> str:
+    """The path of the word tokenizer's file; only the queries that tokenize need the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.attribute_tokens(read(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    import public_tokenizers
+
+    return tokencount.attribute_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +59,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return packing.pack(read(spark, sf_dir, "documents"), word_tokenizer())
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_tampered(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -67,8 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_temperature_mixing": op8_temperature_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 SQL: dict[str, str] = {
+    "op11_merkle_manifest": merkle.SQL,
     "op7_warc_normaliser": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
              f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
