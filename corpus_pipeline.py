@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattline.llm import mixing, neardup, packing, quality, suffix
 from wattline.llm.common import Scratch, read
-from wattline.llm.registry import WORD_TOKENIZER
+from wattline.llm.registry import word_tokenizer
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, WORD_TOKENIZER)
+    return packing.pack(docs, word_tokenizer())
 
 
 STAGES = [
