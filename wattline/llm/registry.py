@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import fingerprint, hardneg, katz, merkle, mixing, neardup, packing, quality, suffix, tokencount, topk, warc
+from wattline.llm import fingerprint, hardneg, katz, merkle, mixing, neardup, packing, quality, rules, suffix, tokencount, topk, warc
 from wattline.llm.common import read
 
 
@@ -70,6 +70,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine_noisy(read(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_katz_backoff": op3_katz_backoff,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_quality_rules": op13_quality_rules,
 }
 SQL: dict[str, str] = {
     "op11_merkle_manifest": merkle.SQL,
