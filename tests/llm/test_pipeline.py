@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered_once():
     numbers = Counter(int(name[2:].split("_")[0]) for name in registry.QUERIES)
-    assert numbers == Counter(range(1, 11))
+    assert numbers == Counter(range(1, 14))
     assert set(registry.SQL) <= set(registry.QUERIES) <= set(entry.queries())
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
