@@ -16,6 +16,10 @@ suffixes that could start such a string are sorted into ever finer buckets:
    of the segments not settled, and of one segment for each settled name, are named one
    by one, and equal names are equal strings.
 
+A key of a passage that very many documents hold (a piece, a name) is not shuffled: keys of
+more than a COMMON-th of the rows, at most COMMON of them, are sent to the rows instead, and
+of a settled segment only the first one asks for its pointer.
+
 Names are 128 bits, computed from prefix sums where the text is; names stand for the
 ranks of a suffix array, so that a refinement round needs no sort of all positions.
 Texts with equal bytes are taken once and settled as a whole.  Counts are summed per
@@ -38,6 +42,7 @@ LENGTH, GRAM = 400, 32
 CUT, CUT_BYTES, REACH = 24, 16, 256  # one place in CUT is a cut; a string looks for one within REACH
 STEP = 32  # strings of a segment begin in the same STEP bytes before their cut
 CHUNK = 1 << 19
+COMMON = 4096
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -146,6 +151,18 @@ def kept_bytes(value: bytes, spans: list[int] | None) -> bytes:
     return b"".join(value[at[i]:at[i + 1]] for i in range(0, len(at), 2))
 
 
+def meet(rows: DataFrame, counts: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``rows`` joined (inner, left or left_semi) to ``counts``, one row per key, whose ``n`` counts the key's rows.
+
+    Keys of more than a COMMON-th of all counted rows are at most COMMON, so they are
+    broadcast; the others are joined by key, none with more than that share of the rows.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > F.lit(total // COMMON)
+    common, rare = F.broadcast(counts.where(hot).drop("n")), counts.where(~hot).drop("n")
+    return rows.join(common, keys, "inner" if how == "left" else how).unionByName(rows.join(common, keys, "left_anti").join(rare, keys, how))
+
+
 def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
@@ -155,15 +172,15 @@ def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` (doc_id, text and ``carry``) with ``spans``: the bytes covered by strings that also start elsewhere.
+def repeated_strings(docs: DataFrame, length: int = LENGTH, carried: Column | None = None) -> DataFrame:
+    """doc_id, text, ``spans`` and ``carried`` of ``docs``: the bytes covered by strings that also start elsewhere.
 
     ``spans`` is [from, to, from, to ...], null where that is the whole text (which another
-    row has too), and empty where no string occurs twice.
+    row has too), and empty where no string occurs twice; ``carried`` goes along as it is.
     """
     spark = docs.sparkSession
     keep = Scratch(spark, "suffix")
-    d = docs.select("doc_id", "text", *carry).withColumn("_k", _key())
+    d = docs.select("doc_id", "text", (F.lit(None).cast("int") if carried is None else carried).alias("carried")).withColumn("_k", _key())
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("_k", pa.int64()), ("t", pa.binary()), ("grams", pa.list_(pa.int64()))])
@@ -176,18 +193,18 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ..
     info = keep.table("info", d.select("_k", "text").mapInArrow(first_pass, "_k long, t binary, grams array<long>"))
     same = keep.table("same", info.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("one")).where(F.col("n") > 1))
     # one of the rows with equal texts stands for all
-    state = keep.table("state", info.select("_k", "t").join(same, "t").select(
+    state = keep.table("state", meet(info.select("_k", "t"), same, ["t"], "inner").select(
         "_k", F.when(F.col("_k") == F.col("one"), 1).otherwise(2).alias("copy")).distinct())
     once = info.select("_k", "grams").join(state.where("copy = 2"), "_k", "left_anti").select("_k", F.explode("grams").alias("g"))
-    shared = once.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    flags = once.distinct().join(shared, "g", "left_semi").groupBy("_k").agg(F.collect_list("g").alias("grams"))
+    shared = keep.table("shared", once.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    flags = meet(once.distinct(), shared, ["g"], "left_semi").groupBy("_k").agg(F.collect_list("g").alias("grams"))
     marks = keep.table("marks", flags.join(state, "_k", "full_outer"))
 
     whole = d.join(marks, "_k", "left")
     fate = F.when(F.col("copy") == 2, F.lit(2)).when(F.col("grams").isNotNull(), F.lit(1)).when(F.col("copy") == 1, F.lit(2)).otherwise(F.lit(0))
-    whole = keep.table("whole", whole.select("doc_id", "text", *carry, "_k", "grams", F.coalesce("copy", F.lit(0)).alias("copy"), fate.alias("fate")))
+    whole = keep.table("whole", whole.select("doc_id", "text", "carried", "_k", "grams", F.coalesce("copy", F.lit(0)).alias("copy"), fate.alias("fate")))
     open_docs = whole.where("fate = 1").select("_k", "text", "grams")
-    keep.drop("info", "same", "state", "marks")
+    keep.drop("info", "same", "state", "shared", "marks")
 
     def pieces(batch: pa.RecordBatch):
         """(batch of texts, segments, their ordinals within their text, the texts' rows)."""
@@ -208,16 +225,20 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ..
                                                   pa.array(pointer.view(np.int64))], names=["_k", "nth", "h1", "h2", "pointer"])
 
     seg = keep.table("segments", open_docs.mapInArrow(name_segments, "_k long, nth int, h1 long, h2 long, pointer long"))
-    twice = seg.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "nth")).alias("one")).where(F.col("n") > 1).drop("n")
-    seg = keep.table("settled", seg.join(twice, ["h1", "h2"], "left").select(
+    twice = keep.table("twice", seg.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "nth")).alias("one")).where(F.col("n") > 1))
+    seg = keep.table("settled", meet(seg, twice, ["h1", "h2"], "left").select(
         "_k", "nth", "pointer", F.col("one").isNotNull().alias("settled"), F.coalesce(F.struct("_k", "nth") == F.col("one"), F.lit(False)).alias("first")))
-    keep.drop("segments")
-    unsettled = seg.groupBy("pointer").agg(F.count(F.lit(1)).alias("n"), F.bool_and("settled").alias("all")).where(
-        (F.col("n") > 1) & ~F.col("all")).select("pointer", F.lit(True).alias("open"))
-    lists = {"settled": F.col("settled"), "open": F.col("open") & ~F.col("settled"), "example": F.col("open") & F.col("first")}
-    of_doc = keep.table("of_doc", seg.join(unsettled, "pointer", "left").where(F.col("settled") | F.col("open")).groupBy("_k").agg(
-        *[F.collect_list(F.when(c, F.col("nth"))).alias(n) for n, c in lists.items()]))
-    keep.drop("settled")
+    keep.drop("segments", "twice")
+    asking = seg.where(~F.col("settled") | F.col("first"))  # the first segment of a settled name stands for all of them
+    unsettled = keep.table("unsettled", asking.groupBy("pointer").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("settled"), 2).otherwise(1)).alias("of"), F.bool_and("settled").alias("all")).where(
+        (F.col("of") > 1) & ~F.col("all")).select("pointer", "n"))
+    asked = meet(asking.select("_k", "nth", "pointer", "settled"), unsettled, ["pointer"], "left_semi").select(
+        "_k", "nth", F.when(F.col("settled"), "example").otherwise("open").alias("list"))
+    told_of = seg.where("settled").select("_k", "nth", F.lit("settled").alias("list")).unionByName(asked)
+    of_doc = keep.table("of_doc", told_of.groupBy("_k").agg(
+        *[F.collect_list(F.when(F.col("list") == n, F.col("nth"))).alias(n) for n in ("settled", "open", "example")]))
+    keep.drop("settled", "unsettled")
     told = keep.table("told", open_docs.join(of_doc, "_k"))
 
     def chosen(batch: pa.RecordBatch, column: int):
@@ -241,9 +262,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ..
 
     named = told.where((F.size("open") > 0) | (F.size("example") > 0)).mapInArrow(name_strings, "_k long, at int, h1 long, h2 long, times int")
     strings = keep.table("strings", named)
-    more = strings.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where(F.col("n") > 1)
-    found = keep.table("found", strings.where("times = 1").join(more, ["h1", "h2"], "left_semi").groupBy("_k").agg(F.collect_list("at").alias("at")))
-    keep.drop("strings")
+    more = keep.table("more", strings.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where(F.col("n") > 1))
+    found = keep.table("found", meet(strings.where("times = 1"), more, ["h1", "h2"], "left_semi").groupBy("_k").agg(F.collect_list("at").alias("at")))
+    keep.drop("strings", "more")
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,29 +283,34 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ..
     keep.drop("told", "of_doc", "found")
     none = F.array().cast("array<long>")
     some = whole.where("fate = 1").join(spans, "_k", "left").select(
-        "doc_id", "text", *carry, F.when(F.col("copy") == 1, F.lit(None)).otherwise(F.coalesce("spans", none)).alias("spans"))
-    rest = whole.where("fate != 1").select("doc_id", "text", *carry, F.when(F.col("fate") == 2, F.lit(None)).otherwise(none).alias("spans"))
+        "doc_id", "text", "carried", F.when(F.col("copy") == 1, F.lit(None)).otherwise(F.coalesce("spans", none)).alias("spans"))
+    rest = whole.where("fate != 1").select("doc_id", "text", "carried", F.when(F.col("fate") == 2, F.lit(None)).otherwise(none).alias("spans"))
     return some.unionByName(rest)
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with the text left and its n_chars; a character that lost one of its bytes goes with it."""
-    names = docs.columns
-    found = repeated_strings(docs.withColumn("text", F.coalesce("text", F.lit(""))), length, tuple(c for c in names if c not in ("doc_id", "text")))
-    schema = docs.schema
+    """``docs`` with the text left and its n_chars; a character that lost one of its bytes goes with it.
+
+    Other columns, whatever their names, stay as they are.
+    """
+    names, schema = docs.columns, docs.schema
+    quoted = ["`" + c.replace("`", "``") + "`" for c in names]
+    row = F.struct(*[F.col(q).alias(f"c{i}") for i, (c, q) in enumerate(zip(names, quoted)) if c != "text"])
+    found = repeated_strings(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row.alias("row")), length, F.col("row"))
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, spans = [], b.column(len(names)).to_pylist()
-            for lo, hi, values in text_chunks(b.column(names.index("text"))):
+            cols, spans = list(b.columns[:-1]), b.column(len(names)).to_pylist()
+            kept = []
+            for lo, hi, values in text_chunks(cols[at]):
                 kept += [kept_bytes(v, s).decode(errors="ignore") for v, s in zip(values, spans[lo:hi])]
-            cols = list(b.columns[:len(names)])
-            cols[names.index("text")] = pa.array(kept, cols[names.index("text")].type)
+            cols[at] = pa.array(kept, cols[at].type)
             if "n_chars" in names:
                 cols[names.index("n_chars")] = pa.array(list(map(len, kept)), cols[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return found.select(*names, "spans").mapInArrow(run, schema)
+    return found.select(*["text" if c == "text" else F.col(f"carried.c{i}").alias(f"c{i}") for i, c in enumerate(names)], F.col("spans").alias("cut")).mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -306,4 +332,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     rows.append((doc, len(value), len(value) - len(kept), 1 if s is None else len(s) // 2, hashlib.sha256(kept).hexdigest()))
             yield _arrow(rows, schema)
 
-    return repeated_strings(d, length).mapInArrow(run, REMOVED)
+    return repeated_strings(d, length).select("doc_id", "text", "spans").mapInArrow(run, REMOVED)
