@@ -145,6 +145,13 @@ def apply(docs: DataFrame, mix: Mix, seed: int = 8) -> DataFrame:
     return d.join(b, ["mix_source", "mix_block"]).where(F.col("mix_cutoff").isNull() | (key < F.col("mix_cutoff"))).drop("mix_cutoff")
 
 
+def repeat(docs: DataFrame, mix: Mix, seed: int = 8) -> DataFrame:
+    """``docs``, with its own columns whatever their names, once per pass that takes them."""
+    fields = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    row = F.struct(*[F.col(f).alias(f"c{i}") for i, f in enumerate(fields)]).alias("row")
+    return apply(docs.select("doc_id", "source", row), mix, seed).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def count_tokens(docs: DataFrame, name: str = "mixing-tokens") -> DataFrame:
     """(doc_id, source, n_tokens), written: the words of whole texts, null text empty."""
     return Scratch(docs.sparkSession, name).table("tokens", docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("n_tokens")))

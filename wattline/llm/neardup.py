@@ -322,6 +322,8 @@ def keep_one(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """``docs`` with one document of every component, the one that names it; of its repeated rows, one."""
     kept = grouped(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_kept")).distinct()
-    rows = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_kept"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
+    fields = ["`" + c.replace("`", "``") + "`" for c in docs.columns]  # in a struct, so that no column's name can clash
+    rows = docs.select(F.struct(*[F.col(f).alias(f"c{i}") for i, f in enumerate(fields)]).alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_kept"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "key"]).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
