@@ -6,7 +6,7 @@ accuracies are not given: expectation-maximisation over the counts of vote patte
 what, and the share of good documents.  The posterior of a pattern is the label that
 trains a hashed linear scorer: square roots of byte-trigram shares and the votes, in
 one hashed space, fitted by logistic regression on a bounded sample of documents
-(``sample`` of those with the smallest hash of doc_id).  Votes, pattern counts,
+(the ``sample`` with the smallest hashes of doc_id and text, equal rows taken once).  Votes, pattern counts,
 estimates and scores cover all documents and whole texts.
 """
 
@@ -25,6 +25,7 @@ from wattline.llm.common import Scratch, SpanHash, is_space, joined, mix, text_c
 DIM = 4096
 VOTE_VALUE = 0.6
 SAMPLE = 4000
+VARIETY_WORDS = 500
 LABELLERS = ("symbols", "capitals", "letters", "echo", "variety", "shouting", "sentences", "separators", "word_length")
 OUT = "doc_id long, votes string, posterior double, score double, keep boolean"
 
@@ -34,6 +35,7 @@ def votes_of(values: list[bytes]) -> np.ndarray:
 
     Bytes from 0x80 on count as letters, so that all scripts read alike; a text of
     fewer than five words gets no vote on its words, and an empty one none at all.
+    Variety is the share of words that are new in their block of VARIETY_WORDS words.
     """
     n = len(values)
     data, starts = joined(values)
@@ -55,9 +57,10 @@ def votes_of(values: list[bytes]) -> np.ndarray:
     h = SpanHash(data)(ws, we) if len(ws) else np.zeros(0, np.uint64)
     echo = np.zeros(len(ws), bool)
     echo[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
-    order = np.lexsort((h, owner))
-    new = np.ones(len(ws), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    block = (np.arange(len(ws)) - np.searchsorted(owner, owner)) // VARIETY_WORDS  # of the word in its text
+    order = np.lexsort((h, block, owner))
+    new = np.ones(len(ws), bool)  # words that are new in their block, so that long texts vary as short ones do
+    new[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1]) | (block[order][1:] != block[order][:-1])
     letters_to = np.concatenate([[0], np.cumsum(letter | ((data >= 48) & (data <= 57)))])
     blank = letters_to[we] == letters_to[ws]  # words without a letter or digit
     many = np.maximum(words, 1)
@@ -78,7 +81,7 @@ def votes_of(values: list[bytes]) -> np.ndarray:
         vote(caps > 0.4, caps < 0.2, some & (n_letter >= 10)),
         vote(plain < 0.86, plain > 0.91, some),
         vote(echoes > 0.2, echoes < 0.05, prose),
-        vote((variety < 0.25) & (words >= 20) & (words <= 5000), variety > 0.45, prose),
+        vote((variety < 0.25) & (words >= 20), variety > 0.45, prose),
         vote(shout > 0.2, shout < 0.05, prose),
         vote((per_stop > 80) & (words >= 80), (per_stop >= 3) & (per_stop <= 40), prose),
         vote(bars > 0.1, bars < 0.03, prose),
@@ -166,29 +169,29 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byt
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
-    spark, d = docs.sparkSession, texts(docs)
+    spark = docs.sparkSession
+    d = texts(docs).select(F.xxhash64(F.lit(9), "doc_id", "text").alias("h"), "text")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, values in _batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pattern(votes_of(values)))], names=["doc_id", "votes"])
+        for hashes, values in _batches(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(pattern(votes_of(values)))], names=["h", "votes"])
 
     keep = Scratch(spark, "quality")
-    votes = keep.table("votes", d.mapInArrow(vote, "doc_id long, votes string"))
+    votes = keep.table("votes", d.mapInArrow(vote, "h long, votes string"))
     seen = votes.groupBy("votes").count().collect()  # at most 3 ** labellers rows
     posterior, share, _ = estimate({r["votes"]: r["count"] for r in seen})
-    order = F.xxhash64(F.lit(9), F.col("doc_id"))
-    last = votes.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    last = votes.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     keep.drop("votes")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, values in _batches(batches):
+        for hashes, values in _batches(batches):
             v = votes_of(values)
             x = [f.astype("<f2").tobytes() for f in features_of(values, v)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pattern(v)), pa.array(x, pa.binary())], names=["doc_id", "votes", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(pattern(v)), pa.array(x, pa.binary())], names=["h", "votes", "x"])
 
-    chosen = d.where(order <= F.lit(last)) if last is not None else d.limit(0)
-    rows = chosen.mapInArrow(vectors, "doc_id long, votes string, x binary").limit(sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["votes"], bytes(r["x"])))
+    chosen = (d.where(F.col("h") <= F.lit(last)) if last is not None else d.limit(0)).dropDuplicates(["h"])  # at most ``sample`` rows
+    rows = chosen.mapInArrow(vectors, "h long, votes string, x binary").collect()
+    rows.sort(key=lambda r: r["h"])
     x, y = np.empty((len(rows), DIM), np.float32), np.array([posterior[r["votes"]] for r in rows], np.float32)
     for i, r in enumerate(rows):
         x[i] = np.frombuffer(bytes(r["x"]), "<f2")
