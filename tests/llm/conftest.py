@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, cls string, key int, bucket string, votes string"
 
@@ -26,12 +27,21 @@ def awkward_rows() -> list[tuple]:
     return rows
 
 
+#: names that operators use, or used, inside
+CLASHING = ("copy", "spans", "grams", "fate", "_k", "_text", "_id", "_kept", "carried", "row", "id", "cut", "c0", "t", "h", "x", "node", "grp", "pos", "n",
+            "mix_source", "mix_block", "mix_pass", "pass", "tokens", "sig", "first", "component_id", "kept", "settled", "_range", "_key")
+
+
+def with_clashing(df):
+    return df.withColumns({c: F.lit(c) for c in CLASHING})
+
+
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Documents with every trouble, and extra columns whose names the operators use inside."""
-    return spark.createDataFrame(awkward_rows(), DOCS).repartition(3).cache()
+    return with_clashing(spark.createDataFrame(awkward_rows(), DOCS).repartition(3)).cache()
 
 
 @pytest.fixture(scope="session")
 def no_docs(spark):
-    return spark.createDataFrame([], DOCS)
+    return with_clashing(spark.createDataFrame([], DOCS))

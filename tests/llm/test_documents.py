@@ -189,7 +189,9 @@ def test_mixing_meets_its_target(awkward, no_docs, spark):
     ratio = [r["weight"] / r["share"] for r in rows]
     assert max(ratio) / min(ratio) == pytest.approx(1.5, abs=1e-5) or plan.exponent == 0
     assert sum(r["weight"] for r in rows) == pytest.approx(1)
-    out = mixing.apply(awkward, plan)
+    out = mixing.apply(awkward.select("doc_id", "text", "source"), plan)
+    again = mixing.repeat(awkward, plan)
+    assert again.columns == awkward.columns and again.count() == out.count()
     longest = max(n.values())
     used = {r["mix_source"]: r["n"] for r in out.groupBy("mix_source").agg(F.sum(mixing.word_count()).alias("n")).collect()}
     for r in rows:  # within a budget by a document at most
