@@ -26,6 +26,7 @@ DIM = 4096
 VOTE_VALUE = 0.6
 SAMPLE = 4000
 VARIETY_WORDS = 500
+CHUNK = 1 << 20
 LABELLERS = ("symbols", "capitals", "letters", "echo", "variety", "shouting", "sentences", "separators", "word_length")
 OUT = "doc_id long, votes string, posterior double, score double, keep boolean"
 
@@ -164,7 +165,7 @@ class Classifier:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     for b in batches:
         ids = b.column(0).to_pylist()
-        for lo, hi, values in text_chunks(b.column(1)):
+        for lo, hi, values in text_chunks(b.column(1), CHUNK):
             yield ids[lo:hi], values
 
 
@@ -204,8 +205,8 @@ def _scores(model: Classifier, values: list[bytes], least: float) -> tuple[list[
     """Votes, posterior, score and decision: good scores stay, and so do texts on which every labeller abstains."""
     v = votes_of(values)
     names = pattern(v)
-    x = np.stack(list(features_of(values, v)))
-    score = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -500, 500)))
+    logit = np.fromiter((x @ model.weights for x in features_of(values, v)), np.float64, len(values))  # one vector at a time
+    score = 1 / (1 + np.exp(-np.clip(logit + model.bias, -500, 500)))
     return names, [model.posterior.get(p, model.share) for p in names], score, (score >= least) | (v < 0).all(axis=1)
 
 
@@ -227,7 +228,7 @@ def keep_good(docs: DataFrame, model: Classifier, least: float = 0.5) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, values in text_chunks(b.column(at)):
+            for lo, hi, values in text_chunks(b.column(at), CHUNK):
                 yield b.slice(lo, hi - lo).filter(pa.array(_scores(model, values, least)[3]))
 
     return docs.mapInArrow(run, docs.schema)
