@@ -6,13 +6,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from wattline.operators import forecast as FC
+from wattline.operators import panel as P
 from wattline.operators import partials as PA
 from wattline.operators import profiles as PR
+from wattline.operators import stored_panel as SP
 from wattline.plans import catalog as K
 from wattline.plans import sqlviews as V
 from wattline.plans.catalog import present, query
-from wattline.plans.params import AS_OF, FC_START, PROFILE_END, PROFILE_START
+from wattline.plans.params import AS_OF, FC_END, FC_START, PROFILE_END, PROFILE_START, SUBMITTED_AT, TEAM_NAME
 from wattline.session import ensure_checkpoint_dir
+from wattline.sources import catalog_tables as CT
+from wattline.sources import sinks as S
 from wattline.sources import tables as T
 
 
@@ -89,3 +94,49 @@ def client_p95_windows(spark, d):
     store.load(PA.daily_sketches(T.readings(spark, d)), "all", "client_id")
     each = [PA.p95_from(store.read(a, b)).withColumn("sample", F.lit(name)) for name, (a, b) in _WINDOWS.items()]
     return present(each[0].unionByName(each[1]))
+
+
+# ---------------------------------------------------------------- W2, J1, J2 from bucketed tables
+
+@query("lag_time_stored", K.REGISTRY["lag_time"][1])
+def lag_time_stored(spark, d):
+    """W2 without a join or a shuffle of its own: a point frame over the bucketed series."""
+    name = f"series_{uuid.uuid4().hex}"
+    load = P.load_by(T.readings(spark, d), "national").select("item_id", "datetime_15min", "active_kw")
+    return present(SP.lags_from(SP.store_series(load, name, _folder(spark, "series")), "active_kw", {"lag_7d": 672}))
+
+
+@query("panel_region_stored", K.REGISTRY["panel_region"][1])
+def panel_region_stored(spark, d):
+    """J1, J2 as one join of two tables in equal buckets."""
+    name = uuid.uuid4().hex
+    days = SP.store_days(P.load_by(T.readings(spark, d), "region"), f"days_{name}", _folder(spark, "days"))
+    cov = SP.store_covariates(P.weather_15min(T.weather(spark, d), T.admin_map(spark, d), "region"), P.holidays_by(T.holidays(spark, d), "region"),
+                              f"covariates_{name}", _folder(spark, "covariates"))
+    return present(SP.panel_from(days, cov))
+
+
+# ---------------------------------------------------------------- S1, S4, S5 through the catalog
+
+def _catalog(spark, d) -> str:
+    name = f"raw_{uuid.uuid4().hex}"
+    return CT.register_sources(spark, d, name, _folder(spark, "db"), ["events", "customer", "nation", "region"])
+
+
+@query("panel_group_catalog", K.REGISTRY["panel_group"][1])
+def panel_group_catalog(spark, d):
+    """Readings, weather, holidays and dimensions read from catalog tables."""
+    return present(P.panel_for(spark, _catalog(spark, d), "group"))
+
+
+@query("publish_forecast_table", K.REGISTRY["publish_forecast"][1])
+def publish_forecast_table(spark, d):
+    """Another team's run and this one in one table; this one is published twice and read back."""
+    source = _catalog(spark, d)
+    pred = FC.contract(FC.to_total(FC.rolling_forecast(FC.SeasonalNaive(96), P.load_by(T.readings(spark, source), "region"), FC_START, FC_END)), FC_START, FC_END)
+    rows = S.publish_forecast(pred, TEAM_NAME, submitted_at=SUBMITTED_AT)
+    table = f"{source[len(CT.CATALOG):]}.submissions"
+    CT.write_run(rows.withColumn("team_name", F.lit("another")).limit(3), table, "another", _folder(spark, "submissions"))
+    for _ in range(2):
+        CT.write_run(rows, table, "query")
+    return present(CT.read_run(spark, table, "query").withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz")))

@@ -35,8 +35,15 @@ WEATHER_RAW_COLS = [
 ]
 
 
+#: A source "catalog:db" stands for the tables of a database instead of the files of a folder.
+CATALOG = "catalog:"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if sf_dir.startswith(CATALOG):
+        df = spark.table(f"{sf_dir[len(CATALOG):]}.{name}")
+    else:
+        df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return df.select(*columns) if columns else df
 
 
