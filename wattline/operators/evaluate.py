@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +107,40 @@ def holdout_summary(daily: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- backtests
 
+def _window_forecasts(m, panel: DataFrame, orig: DataFrame, grid: DataFrame, n_windows: int, keys, refit_every: int | None):
+    """(forecast, seconds spent fitting) for each part of the windows that one call of ``predict`` serves.
+
+    A generation is ``refit_every`` windows (all, if None), fitted on the rows before the
+    earliest of their origins.  A model that fits in its plan gets all generations at once,
+    keyed by the cutoff of each origin; another fitted model is fitted once per generation.
+    """
+    step = refit_every or n_windows
+    if getattr(m, "fits_in_plan", False):
+        number = F.floor((F.col("window") - 1) / step)
+        cutoffs = orig.groupBy(number.alias("_generation")).agg(F.min("origin").alias("cutoff"))
+        yield m.predict(panel, grid.withColumn("_generation", number).join(cutoffs, "_generation").drop("_generation"), keys), 0.0
+    elif getattr(m, "needs_fit", hasattr(m, "model")):
+        for lo in range(1, n_windows + 1, step):
+            mine = F.col("window").between(lo, lo + step - 1)
+            first = orig.where(mine).agg(F.min("origin")).first()[0]
+            if first is not None:
+                began = time.perf_counter()
+                m.fit(panel, cutoff=first, keys=keys)
+                yield m.predict(panel, grid.where(mine), keys), time.perf_counter() - began
+    else:
+        yield m.predict(panel, grid, keys), 0.0
+
+
+def _backtest_rows(panel: DataFrame, models: list, n_windows: int, keys, target: str, refit_every: int | None):
+    """(model, joined rows, seconds spent fitting) of every part, in the order of the models."""
+    orig = fc.last_days_origins(panel, n_windows, keys)
+    grid = fc.horizon_grid(orig, keys=(*keys, "window"))
+    act = panel.select(*keys, "datetime_15min", F.col(target).alias("actual"))
+    for m in models:
+        for p, spent in _window_forecasts(m, panel, orig, grid, n_windows, keys, refit_every):
+            yield m, p.join(act, [*keys, "datetime_15min"]).select(F.lit(m.name).alias("model"), "window", *keys, "datetime_15min", "prediction", "actual"), spent
+
+
 def backtest(panel: DataFrame, models: list, n_windows: int = 5, keys=("item_id",),
              target: str = "active_kw", refit_every: int | None = None) -> DataFrame:
     """each model forecasts each of the last ``n_windows`` days of every series
@@ -112,28 +149,37 @@ def backtest(panel: DataFrame, models: list, n_windows: int = 5, keys=("item_id"
     A model is fitted on the rows before the earliest origin of the windows it forecasts:
     of all of them, or with ``refit_every`` of so many at a time.
     """
+    parts = [rows for _, rows, _ in _backtest_rows(fc.materialize(panel), models, n_windows, keys, target, refit_every)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def timed_backtest(panel: DataFrame, models: list, n_windows: int = 5, keys=("item_id",), target: str = "active_kw",
+                   refit_every: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """F10 + F11: ``backtest`` and a row per model (model, fit_order, fits, fit_time, pred_time), in seconds.
+
+    Each part is written when its turn comes, so its time is that of the forecasts
+    themselves; where the fit is part of the plan, it counts as prediction.
+    """
+    from wattline.session import cut_lineage
+
     panel = fc.materialize(panel)
-    orig = fc.last_days_origins(panel, n_windows, keys)
-    grid = fc.horizon_grid(orig, keys=(*keys, "window"))
-    act = panel.select(*keys, "datetime_15min", F.col(target).alias("actual"))
-    parts = []
-    step = refit_every or n_windows
-    for m in models:
-        fitted = getattr(m, "needs_fit", hasattr(m, "model"))
-        for lo in range(1, n_windows + 1, step) if fitted else [1]:
-            part = grid
-            if fitted:
-                part = grid.where(F.col("window").between(lo, lo + step - 1))
-                first = orig.where(F.col("window").between(lo, lo + step - 1)).agg(F.min("origin")).first()[0]
-                if first is None:
-                    continue
-                m.fit(panel, cutoff=first, keys=keys)
-            p = m.predict(panel, part, keys).join(act, [*keys, "datetime_15min"])
-            parts.append(p.select(F.lit(m.name).alias("model"), "window", *keys, "datetime_15min", "prediction", "actual"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts, seen, began = [], {}, time.perf_counter()
+    for m, rows, spent in _backtest_rows(panel, models, n_windows, keys, target, refit_every):
+        parts.append(cut_lineage(rows))
+        row = seen.setdefault(m.name, [m.name, len(seen) + 1, 0, 0.0, 0.0])
+        row[2] += 1 if spent else 0
+        row[3] += spent
+        now = time.perf_counter()
+        row[4] += now - began - spent
+        began = now
+    times = panel.sparkSession.createDataFrame([tuple(r) for r in seen.values()], "model string, fit_order int, fits int, fit_time double, pred_time double")
+    return reduce(DataFrame.unionByName, parts), times
+
+
+def ranked_leaderboard(bt: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """the leaderboard with ``rank`` (best first, ties by name) and, if given, the order and times of the fits."""
+    lb = leaderboard(bt).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score_val"), "model")).cast("int"))  # a row per model
+    return (lb if times is None else lb.join(times, "model")).orderBy("rank")
 
 
 def leaderboard(bt: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wattline import SLOT_MINUTES, SLOTS_PER_DAY
 from wattline.functions.safe import exact_mean, exact_sum, safe_div
-from wattline.functions.timefn import add_minutes, floor_day, half_open
+from wattline.functions.timefn import add_minutes, floor_day, half_open, slot_of_day
 
 
 
@@ -174,6 +174,32 @@ class SeasonalNaive:
         return out.withColumnRenamed("_v", "prediction")
 
 
+class SlotMean:
+    """Mean of the target per (series, slot of day) over the rows before the fit; where a slot has none, the series' mean.
+
+    Fits of several generations are one plan: a grid with a ``cutoff`` (a midnight) per row
+    says which fit the row uses; without one, each origin has its own.
+    """
+
+    fits_in_plan = True
+
+    def __init__(self, target: str = "active_kw", name: str = "SlotMean"):
+        self.target, self.name = target, name
+
+    def fit(self, panel: DataFrame, cutoff=None) -> "SlotMean":
+        return self
+
+    def predict(self, panel: DataFrame, grid: DataFrame, keys=("item_id",)) -> DataFrame:
+        cut = F.col("cutoff") if "cutoff" in grid.columns else F.col("origin")
+        g = grid.withColumns({"_slot": slot_of_day("datetime_15min"), "_cut": cut})
+        fits = g.select(*keys, "_slot", F.col("_cut").alias("origin")).distinct()
+        means = hist_mean_asof(panel.withColumn("_slot", slot_of_day("datetime_15min")), fits, self.target, (*keys, "_slot"))
+        whole = hist_mean_asof(panel, fits.select(*keys, "origin").distinct(), self.target, keys)
+        out = g.join(means.select(*keys, "_slot", F.col("origin").alias("_cut"), F.col("hist_mean").alias("_m")), [*keys, "_slot", "_cut"], "left")
+        out = out.join(whole.select(*keys, F.col("origin").alias("_cut"), F.col("hist_mean").alias("_all")), [*keys, "_cut"], "left")
+        return out.select(*grid.columns, F.coalesce("_m", "_all").alias("prediction"))
+
+
 class WeightedEnsemble:
     """Weighted mean of member forecasts (F12); weights must sum to 1."""
 

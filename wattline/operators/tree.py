@@ -62,6 +62,7 @@ class TreeForecaster:
         self.target, self.max_iter, self.max_depth, self.seed = target, max_iter, max_depth, seed
         self.model = None
         self.levels: DataFrame | None = None
+        self.cutoff = None
         self.feature_names: list[str] = []
 
     def features(self, rows: DataFrame, panel: DataFrame, keys=("item_id",), covariates: DataFrame | None = None):
@@ -72,6 +73,7 @@ class TreeForecaster:
     def fit(self, panel: DataFrame, cutoff=None, keys=("item_id",), covariates: DataFrame | None = None) -> "TreeForecaster":
         from wattline.session import cut_lineage
 
+        self.cutoff = cutoff
         train = panel.where(F.col(self.target).isNotNull())
         if cutoff is not None:
             train = train.where(F.col("datetime_15min") < F.lit(str(cutoff)).cast("timestamp_ntz"))
@@ -103,12 +105,31 @@ class TreeForecaster:
         return spark.createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"))
 
 
-def permutation_importance(model: TreeForecaster, panel: DataFrame, eval_rows: DataFrame,
+class LinearScorer:
+    """A fixed linear score over the tree's row features, for importances that other engines can repeat."""
+
+    def __init__(self, weights: dict[str, float], target: str = "active_kw", name: str = "Linear"):
+        self.weights, self.target, self.name = weights, target, name
+
+    def features(self, rows: DataFrame, panel: DataFrame, keys=("item_id",), covariates: DataFrame | None = None):
+        return _row_features(rows, panel, self.target, keys, covariates)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        score = sum((F.col(c) * F.lit(w) for c, w in self.weights.items()), F.lit(0.0))
+        return rows.withColumn("prediction", score)
+
+
+def shuffle_key(keys, repeat: int):
+    """The order of a repeat's permutation: a digest of series, slot and repeat, the same in any engine."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("datetime_15min").cast("string"), F.lit(str(repeat))).cast("binary"))
+
+
+def permutation_importance(model: TreeForecaster | LinearScorer, panel: DataFrame, eval_rows: DataFrame,
                            features: list[str], repeats: int = 3, seed: int = 0,
                            keys=("item_id",)) -> DataFrame:
     """MAE increase when one feature is shuffled inside each series, largest first.
 
-    In repeat r the rows of a series are put in the order of a hash of (series, slot, r),
+    In repeat r the rows of a series are put in the order of a digest of (series, slot, r),
     and row i takes the feature (with its flag) from the i-th of them: the same
     permutation on every run and partitioning.  Only the permuted values travel, one
     feature at a time.  Importance = mean over repeats, with its std.
@@ -122,7 +143,7 @@ def permutation_importance(model: TreeForecaster, panel: DataFrame, eval_rows: D
     before = model.transform(base).agg(error).first()[0]
     scores = []
     for r in range(repeats):
-        shuffled = Window.partitionBy(*keys).orderBy(F.xxhash64(*keys, "datetime_15min", F.lit(seed + r)), "datetime_15min")
+        shuffled = Window.partitionBy(*keys).orderBy(shuffle_key(keys, seed + r), "datetime_15min")
         order = cut_lineage(base.select(*keys, F.row_number().over(shuffled).alias("_i"), *[c for f in features for c in (f, f"has_{f}")]))
         for f in features:
             given = order.select(*keys, "_i", f, f"has_{f}")

@@ -23,7 +23,7 @@ from wattline.operators import forecast as FC
 from wattline.operators import panel as P
 from wattline.operators import profiles as PR
 from wattline.plans import sqlviews as V
-from wattline.plans.params import (AS_OF, ENSEMBLE_WEIGHTS, FC_END, FC_START, HOLDOUT, HORIZON, N_WINDOWS,
+from wattline.plans.params import (APPROACH_WINDOWS, AS_OF, ENSEMBLE_WEIGHTS, FC_END, FC_START, HOLDOUT, HORIZON, N_WINDOWS,
                                    PREVIEW_ROWS, PROFILE_END, PROFILE_START, RECENT_DAYS, SUBMITTED_AT, TEAM_NAME)
 from wattline.session import ensure_checkpoint_dir
 from wattline.sources import sinks as S
@@ -251,14 +251,15 @@ def _approach_ctes():
         f"longt AS (SELECT approach || '#' || item_id AS item_id, approach, datetime_15min, n_clients, target, rescale_by_n FROM ({body}) t)",
         f"""orig AS (SELECT b.item_id, w.wnd, b.last - (w.wnd - 1) * INTERVAL 1 DAY AS origin
   FROM (SELECT item_id, date_trunc('day', max(datetime_15min)) AS last, min(datetime_15min) AS f FROM longt GROUP BY 1) b
-  JOIN (SELECT unnest(generate_series(1, {N_WINDOWS})) AS wnd) w ON b.f < b.last - (w.wnd - 1) * INTERVAL 1 DAY)""",
+  JOIN (SELECT unnest(generate_series(1, {APPROACH_WINDOWS})) AS wnd) w ON b.f < b.last - (w.wnd - 1) * INTERVAL 1 DAY)""",
         V.grid_cte("grid", "orig"), V.hist_mean_cte("hm", "orig", "longt", "target"),
-        V.seasonal_pred_cte("pred", "grid", "longt", "hm", 1, "target"),
-        """bt AS (SELECT p.item_id, o.wnd, abs(l.target - p.prediction) AS err
+        V.seasonal_pred_cte("p1", "grid", "longt", "hm", 1, "target"), V.seasonal_pred_cte("p7", "grid", "longt", "hm", 7, "target"),
+        """pred AS (SELECT 1 AS model, * FROM p1 UNION ALL SELECT 7, * FROM p7)""",
+        """bt AS (SELECT p.model, p.item_id, o.wnd, abs(l.target - p.prediction) AS err
   FROM pred p JOIN orig o ON o.item_id = p.item_id AND o.origin = p.origin
   JOIN longt l ON l.item_id = p.item_id AND l.datetime_15min = p.datetime_15min)""",
-        """score AS (SELECT item_id, avg(w_mae) AS score_val
-  FROM (SELECT item_id, wnd, avg(err) AS w_mae FROM bt GROUP BY 1, 2) w GROUP BY 1)""",
+        """score AS (SELECT item_id, min(m_mae) AS score_val FROM (SELECT model, item_id, avg(w_mae) AS m_mae
+  FROM (SELECT model, item_id, wnd, avg(err) AS w_mae FROM bt GROUP BY 1, 2, 3) w GROUP BY 1, 2) m GROUP BY 1)""",
         """lastn AS (SELECT item_id, any_value(approach) AS approach, arg_max(n_clients, datetime_15min) AS n_last,
   bool_or(rescale_by_n) AS rescale FROM longt GROUP BY 1)"""]
     ctes.append("""proxies AS (SELECT l.approach, split_part(s.item_id, '#', 2) AS item_id, l.rescale,
@@ -745,9 +746,33 @@ def permutation_importance(spark, d):
     return present(pi(model, panel, recent, feats, repeats=3, seed=0))
 
 
-@query("ensemble_weights")
+_GREEDY_ROUNDS = 10
+
+
+def _greedy_sql():
+    """F12 by a recursive query: a row per round with the picks so far; ties go to the first name."""
+    ctes = _bt_sql_ctes()[:-1] + [
+        """wide AS (SELECT a.actual, a.prediction AS p1, b.prediction AS p7 FROM bt a
+  JOIN bt b ON a.wnd = b.wnd AND a.item_id = b.item_id AND a.datetime_15min = b.datetime_15min
+  WHERE a.model = 'SeasonalNaive' AND b.model = 'SeasonalNaive672' AND a.prediction IS NOT NULL AND b.prediction IS NOT NULL AND a.actual IS NOT NULL)""",
+        f"""picks AS (SELECT 0 AS r, 0 AS c1, 0 AS c7
+  UNION ALL
+  SELECT r + 1, c1 + CASE WHEN e1 <= e7 THEN 1 ELSE 0 END, c7 + CASE WHEN e1 <= e7 THEN 0 ELSE 1 END
+  FROM (SELECT s.r, s.c1, s.c7, avg(abs(w.actual - (s.c1 * w.p1 + s.c7 * w.p7 + w.p1) / (s.r + 1))) AS e1,
+          avg(abs(w.actual - (s.c1 * w.p1 + s.c7 * w.p7 + w.p7) / (s.r + 1))) AS e7
+        FROM picks s JOIN wide w ON true WHERE s.r < {_GREEDY_ROUNDS} GROUP BY s.r, s.c1, s.c7) e)"""]
+    body = V.with_(ctes, f"""SELECT 'SeasonalNaive' AS model, CAST(c1 AS DOUBLE) / {_GREEDY_ROUNDS} AS weight FROM picks WHERE r = {_GREEDY_ROUNDS}
+UNION ALL SELECT 'SeasonalNaive672', CAST(c7 AS DOUBLE) / {_GREEDY_ROUNDS} FROM picks WHERE r = {_GREEDY_ROUNDS}""")
+    return V.rounded(body.replace("WITH ", "WITH RECURSIVE ", 1), ["weight"])
+
+
+@query("ensemble_weights", _greedy_sql())
 def ensemble_weights(spark, d):
-    return present(E.greedy_weights(_bt(spark, d), rounds=10))
+    return present(E.greedy_weights(_bt(spark, d), rounds=_GREEDY_ROUNDS))
+
+
+def _approach_models():
+    return [FC.SeasonalNaive(96, target="target"), FC.SeasonalNaive(672, target="target")]
 
 
 @query("approach_comparison", _w(_approach_ctes(), """SELECT approach, spain_total_mae, n_regions, rescale_by_n,
@@ -755,13 +780,13 @@ def ensemble_weights(spark, d):
 FROM (SELECT approach, sum(proxy) AS spain_total_mae, count(*) AS n_regions, bool_or(rescale) AS rescale_by_n FROM proxies GROUP BY 1) t""",
                                  ["spain_total_mae"]))
 def approach_comparison(spark, d):
-    return present(E.approach_comparison(X.target_transforms(_load(spark, d, "region")), N_WINDOWS))
+    return present(E.approach_comparison(X.target_transforms(_load(spark, d, "region")), APPROACH_WINDOWS, _approach_models()))
 
 
 @query("best_worst_targets", _w(_approach_ctes(), """SELECT item_id, arg_min(approach, (proxy, approach)) AS best_approach, min(proxy) AS best_mae,
   arg_max(approach, (proxy, approach)) AS worst_approach, max(proxy) AS worst_mae FROM proxies GROUP BY 1""", ["best_mae", "worst_mae"]))
 def best_worst_targets(spark, d):
-    return present(E.best_worst_targets(E.approach_scores(X.target_transforms(_load(spark, d, "region")), N_WINDOWS)))
+    return present(E.best_worst_targets(E.approach_scores(X.target_transforms(_load(spark, d, "region")), APPROACH_WINDOWS, _approach_models())))
 
 
 @query("publish_forecast", _w([V.READINGS, V.load_cte("load", "region")] + _rolling_ctes(1),

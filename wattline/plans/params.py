@@ -9,6 +9,8 @@ PROFILE_END = "2024-01-22"
 AS_OF = "2024-01-15"             # visibility cutoff example
 RECENT_DAYS = 14
 N_WINDOWS = 5
+APPROACH_WINDOWS = 10
+REFIT_EVERY = 2
 HORIZON = 96
 PREVIEW_ROWS = 100
 ENSEMBLE_WEIGHTS = {"SeasonalNaive": 0.6, "SeasonalNaive672": 0.4}

@@ -6,16 +6,21 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from wattline.operators import evaluate as E
+from wattline.operators import feature_chain as CH
 from wattline.operators import forecast as FC
 from wattline.operators import panel as P
 from wattline.operators import partials as PA
+from wattline.operators import persist as PE
 from wattline.operators import profiles as PR
 from wattline.operators import stored_panel as SP
+from wattline.operators import tree as TR
 from wattline.plans import catalog as K
 from wattline.plans import sqlviews as V
 from wattline.plans.catalog import present, query
-from wattline.plans.params import AS_OF, FC_END, FC_START, PROFILE_END, PROFILE_START, SUBMITTED_AT, TEAM_NAME
-from wattline.session import ensure_checkpoint_dir
+from wattline.plans.params import (AS_OF, ENSEMBLE_WEIGHTS, FC_END, FC_START, HOLDOUT, N_WINDOWS, PROFILE_END, PROFILE_START, RECENT_DAYS,
+                                   REFIT_EVERY, SUBMITTED_AT, TEAM_NAME)
+from wattline.session import cut_lineage, ensure_checkpoint_dir
 from wattline.sources import catalog_tables as CT
 from wattline.sources import sinks as S
 from wattline.sources import tables as T
@@ -140,3 +145,98 @@ def publish_forecast_table(spark, d):
     for _ in range(2):
         CT.write_run(rows, table, "query")
     return present(CT.read_run(spark, table, "query").withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz")))
+
+
+# ---------------------------------------------------------------- F3, F8, F9, F12: saved, loaded, applied
+
+@query("deepar_features_saved", K.REGISTRY["deepar_features"][1])
+def deepar_features_saved(spark, d):
+    """the declared chain is saved, and a chain loaded from its folder makes the features."""
+    path = _folder(spark, "chain")
+    CH.save_chain(CH.deepar_chain(), path)
+    load = P.load_by(T.readings(spark, d), "national").select("item_id", "datetime_15min", "active_kw")
+    return present(CH.load_chain(path).transform(load))
+
+
+@query("ensemble_forecast_saved", K.REGISTRY["ensemble_forecast"][1])
+def ensemble_forecast_saved(spark, d):
+    """a saved ensemble, loaded, makes the rolling forecast."""
+    path = _folder(spark, "ensemble")
+    PE.save_predictor(spark, FC.WeightedEnsemble([FC.SeasonalNaive(96), FC.SeasonalNaive(672)],
+                                                 [ENSEMBLE_WEIGHTS["SeasonalNaive"], ENSEMBLE_WEIGHTS["SeasonalNaive672"]]), path)
+    return present(FC.rolling_forecast(PE.load_predictor(spark, path), P.load_by(T.readings(spark, d), "region"), FC_START, FC_END))
+
+
+@query("tree_forecast_saved")
+def tree_forecast_saved(spark, d):
+    """The tree is fitted once and saved; the loaded one forecasts."""
+    panel, path = cut_lineage(P.panel_for(spark, d, "region")), _folder(spark, "tree")
+    PE.save_predictor(spark, TR.TreeForecaster().fit(panel, cutoff=HOLDOUT), path)
+    return present(FC.rolling_forecast(PE.load_predictor(spark, path), panel, HOLDOUT, "2024-01-31").select("item_id", "origin", "datetime_15min", "prediction"))
+
+
+# ---------------------------------------------------------------- F10, F11: refits, order, times
+
+def _refit_sql():
+    n = "hour({0}) * 60 + minute({0})"
+    ctes = K._bt_sql_ctes()
+    bt = ctes[-2][:-1] + f"""
+  UNION ALL
+  SELECT 'SlotMean', o.wnd, g.item_id, g.datetime_15min, coalesce(s.m, h.m), l.active_kw
+  FROM grid g JOIN orig o USING (item_id, origin) JOIN gens n ON n.gen = (o.wnd - 1) // {REFIT_EVERY}
+  JOIN load l ON l.item_id = g.item_id AND l.datetime_15min = g.datetime_15min
+  LEFT JOIN slots s ON s.gen = n.gen AND s.item_id = g.item_id AND s.slot = {n.format("g.datetime_15min")}
+  LEFT JOIN whole h ON h.gen = n.gen AND h.item_id = g.item_id)"""
+    mean = "CAST(sum(CAST(l.active_kw AS DECIMAL(28,10))) AS DOUBLE) / count(l.active_kw) AS m FROM gens n JOIN load l ON l.datetime_15min < n.cutoff"
+    ctes = ctes[:-2] + [f"gens AS (SELECT (wnd - 1) // {REFIT_EVERY} AS gen, min(origin) AS cutoff FROM orig GROUP BY 1)",
+                        f"slots AS (SELECT n.gen, l.item_id, {n.format('l.datetime_15min')} AS slot, {mean} GROUP BY 1, 2, 3)",
+                        f"whole AS (SELECT n.gen, l.item_id, {mean} GROUP BY 1, 2)", bt, ctes[-1]]
+    return K._w(ctes, """SELECT lb.*, CAST(row_number() OVER (ORDER BY score_val DESC, lb.model) AS INTEGER) AS rank, o.fit_order
+FROM lb JOIN (VALUES ('SeasonalNaive', 1), ('SeasonalNaive672', 2), ('SlotMean', 3)) o(model, fit_order) ON o.model = lb.model""", ["score_val"])
+
+
+@query("leaderboard_refit", _refit_sql())
+def leaderboard_refit(spark, d):
+    """three models, fitted anew every second window where there is something to fit; times are left out of the rows."""
+    models = [FC.SeasonalNaive(96), FC.SeasonalNaive(672), FC.SlotMean()]
+    bt, times = E.timed_backtest(P.load_by(T.readings(spark, d), "region"), models, N_WINDOWS, refit_every=REFIT_EVERY)
+    return present(E.ranked_leaderboard(bt, times).drop("fits", "fit_time", "pred_time"))
+
+
+@query("leaderboard_tree")
+def leaderboard_tree(spark, d):
+    """The tree, refitted every second window, beside the seasonal models; with fits and times."""
+    models = [FC.SeasonalNaive(96), FC.SlotMean(), TR.TreeForecaster(max_iter=5, max_depth=4)]
+    return present(E.ranked_leaderboard(*E.timed_backtest(P.panel_for(spark, d, "region"), models, N_WINDOWS, refit_every=REFIT_EVERY)))
+
+
+# ---------------------------------------------------------------- F18 on a fixed scorer
+
+SCORER = {"lag_1d": 0.4, "lag_2d": 0.1, "lag_7d": 0.3, "temp_forecast": 0.25, "is_holiday": 3.0}
+_REPEATS = 3
+
+
+def _importance_sql():
+    x = {"lag_1d": "a.active_kw", "lag_2d": "b.active_kw", "lag_7d": "c.active_kw", "temp_forecast": "p.temp_forecast", "is_holiday": "p.is_holiday"}
+    given = ", ".join(f"CASE WHEN {v} IS NULL OR isnan(CAST({v} AS DOUBLE)) THEN 0 ELSE {v} END AS {c}" for c, v in x.items())
+    lag = "LEFT JOIN panel {0} ON {0}.item_id = p.item_id AND {0}.datetime_15min = p.datetime_15min - INTERVAL {1} DAY"
+    score = " + ".join(f"{w} * {c}" for c, w in SCORER.items())
+    ctes = V.panel_ctes("region") + [
+        f"""feats AS (SELECT p.item_id, p.datetime_15min, p.active_kw, {given} FROM panel p
+  {lag.format("a", 1)} {lag.format("b", 2)} {lag.format("c", 7)}
+  WHERE p.datetime_15min >= (SELECT max(datetime_15min) FROM panel) - INTERVAL {RECENT_DAYS} DAY)""",
+        f"base AS (SELECT *, {score} AS s, row_number() OVER (PARTITION BY item_id ORDER BY datetime_15min) AS i FROM feats)",
+        f"""perm AS (SELECT r.r, b.*, row_number() OVER (PARTITION BY r.r, item_id
+    ORDER BY md5(item_id || '|' || CAST(datetime_15min AS VARCHAR) || '|' || CAST(r.r AS VARCHAR)), datetime_15min) AS k
+  FROM base b CROSS JOIN (SELECT unnest(range({_REPEATS})) AS r) r)""",
+        "moved AS (" + "\nUNION ALL ".join(f"""SELECT '{c}' AS feature, m.r, avg(abs(b.active_kw - (b.s + {w} * (m.{c} - b.{c})))) AS mae
+  FROM base b JOIN perm m ON m.item_id = b.item_id AND m.k = b.i GROUP BY m.r""" for c, w in SCORER.items()) + ")"]
+    return K._w(ctes, """SELECT feature, avg(d) AS importance, stddev_samp(d) AS stddev, count(*) AS n
+FROM (SELECT feature, mae - (SELECT avg(abs(active_kw - s)) FROM base) AS d FROM moved) q GROUP BY feature""", ["importance", "stddev"])
+
+
+@query("permutation_importance_linear", _importance_sql())
+def permutation_importance_linear(spark, d):
+    panel = cut_lineage(P.panel_for(spark, d, "region"))
+    cutoff = panel.select(F.max("datetime_15min")).scalar() - F.make_dt_interval(F.lit(RECENT_DAYS))
+    return present(TR.permutation_importance(TR.LinearScorer(SCORER), panel, panel.where(F.col("datetime_15min") >= cutoff), list(SCORER), _REPEATS))
