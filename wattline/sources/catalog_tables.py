@@ -7,6 +7,7 @@ schemas.  Any catalog of the session serves, the built-in one included.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +55,12 @@ def write_run(df: DataFrame, table: str, run_id: str, path: str | None = None) -
     else:
         wanted = spark.table(table)
         check_schema(rows.schema, wanted.schema)
-        (rows.select(*wanted.columns).observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").insertInto(table))
+        view = f"run_{uuid.uuid4().hex}"
+        rows.select(*[c for c in wanted.columns if c != RUN]).observe(obs, F.count(F.lit(1)).alias("rows")).createOrReplaceTempView(view)
+        # one named partition is overwritten, with nothing if the run has no rows
+        literal = run_id.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({RUN} = '{literal}') SELECT * FROM {view}")
+        spark.catalog.dropTempView(view)
     return int(obs.get["rows"])
 
 
