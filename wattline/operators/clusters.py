@@ -7,6 +7,9 @@ by the population std): labels are unaffected, inertia scales by a constant.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -33,28 +36,50 @@ def scale(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return model.transform(vec).drop("raw")
 
 
+AT_ONCE = 8  # fits whose jobs run side by side
+
+
+def _side_by_side(spark, call, items: list) -> list:
+    """``call`` of every item, some at a time: independent jobs share the cluster instead of waiting for each other."""
+    with ThreadPool(min(AT_ONCE, max(1, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(call), items)
+
+
 def best_of(scaled: DataFrame, k: int, seed: int, starts: int):
     """The k-means model of least cost out of ``starts`` seeded ones (the first on a tie)."""
-    models = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(scaled) for i in range(starts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
+    return _best_of_each(scaled, [k], seed, starts)[0]
+
+
+def _best_of_each(scaled: DataFrame, ks: list[int], seed: int, starts: int) -> list:
+    """The model of least cost for every k, all starts of all k fitted side by side."""
+    tried = [(k, i) for k in ks for i in range(starts)]
+    models = _side_by_side(scaled.sparkSession, lambda t: KMeans(k=t[0], seed=seed + t[1], featuresCol="features").fit(scaled), tried)
+    return [min((m for (of, _), m in zip(tried, models) if of == k), key=lambda m: m.summary.trainingCost) for k in ks]
 
 
 def sweep_k(scaled: DataFrame, ks=range(2, 11), seed: int = 42, starts: int = 10) -> DataFrame:
     """Inertia (training cost) and silhouette (squared Euclidean) per k, of the best of ``starts`` fits."""
+    ks = list(ks)
     scaled = scaled.select("client_id", "features").cache()
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    rows = []
-    for k in ks:
-        model = best_of(scaled, k, seed, starts)
-        sil = ev.evaluate(model.transform(scaled)) if k > 1 else None
-        rows.append((int(k), float(model.summary.trainingCost), float(sil)))
+    scaled.count()  # filled once, before the fits share it
+    models = _best_of_each(scaled, ks, seed, starts)
+
+    def silhouette(m) -> float | None:
+        return float(ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(m.transform(scaled))) if m.getK() > 1 else None
+
+    scores = _side_by_side(scaled.sparkSession, silhouette, models)
+    rows = [(int(k), float(m.summary.trainingCost), sil) for k, m, sil in zip(ks, models, scores)]
     scaled.unpersist()
     return scaled.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
 def fit_clusters(scaled: DataFrame, k: int = 4, seed: int = 42, starts: int = 10) -> DataFrame:
     """C4: final k-means labels, renumbered by cluster size (largest = 0) for stable ids."""
-    pred = best_of(scaled.cache(), k, seed, starts).transform(scaled)
+    fitted_on = scaled.cache()
+    fitted_on.count()
+    model = best_of(fitted_on, k, seed, starts)
+    fitted_on.unpersist()
+    pred = model.transform(scaled)
     sizes = pred.groupBy("prediction").count()
     rank = sizes.withColumn("cluster", F.row_number().over(
         Window.orderBy(F.desc("count"), F.asc("prediction"))) - 1)  # k rows only

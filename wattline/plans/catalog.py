@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from wattline.functions.timefn import raw_range
+from wattline.functions.timefn import floor_minutes, raw_range
 from wattline.operators import clusters as C
 from wattline.operators import evaluate as E
 from wattline.operators import features as X
@@ -635,7 +635,7 @@ def describe_load(spark, d):
 WHERE datetime_15min >= (SELECT max(datetime_15min) FROM load) - INTERVAL {RECENT_DAYS} DAY""", LOAD_DBL))
 def recent_days(spark, d):
     r = _readings(spark, d)
-    last = P.load_by(r, "region").agg(F.max("datetime_15min")).first()[0]  # one value; the scan is of ts alone
+    last = r.agg(floor_minutes(F.max("datetime_local"))).first()[0]  # one value; map-side partial maxima of one column
     if last is None:
         return present(_load(spark, d, "region"))
     return present(P.load_by(raw_range(r, "datetime_local", last - timedelta(days=RECENT_DAYS)), "region"))
