@@ -151,16 +151,17 @@ def kept_bytes(value: bytes, spans: list[int] | None) -> bytes:
     return b"".join(value[at[i]:at[i + 1]] for i in range(0, len(at), 2))
 
 
-def meet(rows: DataFrame, counts: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """``rows`` joined (inner, left or left_semi) to ``counts``, one row per key, whose ``n`` counts the key's rows.
+def common_keys(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``counts`` (a row per key, ``n`` rows each) parted into keys of more than a COMMON-th of all counted rows, so at most COMMON, and others."""
+    hot = F.col("n") > F.lit((counts.agg(F.sum("n")).first()[0] or 0) // COMMON)
+    return counts.where(hot).drop("n"), counts.where(~hot).drop("n")
 
-    Keys of more than a COMMON-th of all counted rows are at most COMMON, so they are
-    broadcast; the others are joined by key, none with more than that share of the rows.
-    """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") > F.lit(total // COMMON)
-    common, rare = F.broadcast(counts.where(hot).drop("n")), counts.where(~hot).drop("n")
-    return rows.join(common, keys, "inner" if how == "left" else how).unionByName(rows.join(common, keys, "left_anti").join(rare, keys, how))
+
+def meet(rows: DataFrame, counts: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``rows`` joined (inner or left_semi) to ``counts``: common keys are broadcast, the others joined by key, the same way at any size."""
+    common, rare = common_keys(counts)
+    common = F.broadcast(common)
+    return rows.join(common, keys, how).unionByName(rows.join(common, keys, "left_anti").join(rare.hint("merge"), keys, how))
 
 
 def _key() -> Column:
@@ -225,20 +226,40 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, carried: Column | No
                                                   pa.array(pointer.view(np.int64))], names=["_k", "nth", "h1", "h2", "pointer"])
 
     seg = keep.table("segments", open_docs.mapInArrow(name_segments, "_k long, nth int, h1 long, h2 long, pointer long"))
-    twice = keep.table("twice", seg.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "nth")).alias("one")).where(F.col("n") > 1))
-    seg = keep.table("settled", meet(seg, twice, ["h1", "h2"], "left").select(
-        "_k", "nth", "pointer", F.col("one").isNotNull().alias("settled"), F.coalesce(F.struct("_k", "nth") == F.col("one"), F.lit(False)).alias("first")))
-    keep.drop("segments", "twice")
-    asking = seg.where(~F.col("settled") | F.col("first"))  # the first segment of a settled name stands for all of them
+    # a name that occurs twice, and its first segment, which alone asks for its pointer
+    twice = keep.table("twice", seg.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "nth", "pointer")).alias("one")).where(F.col("n") > 1))
+    common, rare = common_keys(twice)
+    names_ = [(r["h1"], r["h2"]) for r in common.select("h1", "h2").collect()]  # at most COMMON
+    hot_names = np.array(sorted(names_), np.int64).reshape(-1, 2)
+
+    def hot_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A text's segments of common names as one row (or a few): no row per segment."""
+        for batch in batches:
+            h1, h2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            hit = np.flatnonzero(np.isin(h1, hot_names[:, 0]))
+            hit = np.array([i for i in hit if (h1[i], h2[i]) in hot_set], np.int64)
+            ks, nth = batch.column(0).to_numpy()[hit], batch.column(1).to_numpy()[hit]
+            order = np.argsort(ks, kind="stable")
+            ks, nth = ks[order], nth[order]
+            first = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]])) if len(ks) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(ks)).astype(np.int32)), pa.array(nth))
+            yield pa.RecordBatch.from_arrays([pa.array(ks[first]), lists], names=["_k", "settled"])
+
+    hot_set = set(map(tuple, hot_names.tolist()))
+    rest = keep.table("rest", seg.join(F.broadcast(common.select("h1", "h2")), ["h1", "h2"], "left_anti").join(
+        rare.select("h1", "h2", F.lit(True).alias("settled")).hint("merge"), ["h1", "h2"], "left").select("_k", "nth", "pointer", F.coalesce("settled", F.lit(False)).alias("settled")))
+    of_hot = keep.table("of_hot", seg.select("_k", "nth", "h1", "h2").mapInArrow(hot_lists, "_k long, settled array<int>"))
+    asking = rest.where("not settled").unionByName(twice.select(F.col("one._k").alias("_k"), F.col("one.nth").alias("nth"), F.col("one.pointer").alias("pointer"), F.lit(True).alias("settled")))
     unsettled = keep.table("unsettled", asking.groupBy("pointer").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("settled"), 2).otherwise(1)).alias("of"), F.bool_and("settled").alias("all")).where(
         (F.col("of") > 1) & ~F.col("all")).select("pointer", "n"))
-    asked = meet(asking.select("_k", "nth", "pointer", "settled"), unsettled, ["pointer"], "left_semi").select(
-        "_k", "nth", F.when(F.col("settled"), "example").otherwise("open").alias("list"))
-    told_of = seg.where("settled").select("_k", "nth", F.lit("settled").alias("list")).unionByName(asked)
-    of_doc = keep.table("of_doc", told_of.groupBy("_k").agg(
-        *[F.collect_list(F.when(F.col("list") == n, F.col("nth"))).alias(n) for n in ("settled", "open", "example")]))
-    keep.drop("settled", "unsettled")
+    asked = meet(asking, unsettled, ["pointer"], "left_semi").select("_k", "nth", F.when(F.col("settled"), "example").otherwise("open").alias("list"))
+    told_of = rest.where("settled").select("_k", "nth", F.lit("settled").alias("list")).unionByName(asked).groupBy("_k").agg(
+        *[F.collect_list(F.when(F.col("list") == n, F.col("nth"))).alias(n) for n in ("settled", "open", "example")])
+    none = F.array().cast("array<int>")
+    told_of = told_of.unionByName(of_hot.select("_k", "settled", none.alias("open"), none.alias("example")))
+    of_doc = keep.table("of_doc", told_of.groupBy("_k").agg(*[F.flatten(F.collect_list(n)).alias(n) for n in ("settled", "open", "example")]))
+    keep.drop("segments", "twice", "rest", "of_hot", "unsettled")
     told = keep.table("told", open_docs.join(of_doc, "_k"))
 
     def chosen(batch: pa.RecordBatch, column: int):
