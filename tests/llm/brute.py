@@ -43,13 +43,15 @@ def near_groups(rows, size=4, percent=80):
 def without_repeats(texts, length=400):
     """(bytes kept, spans) per text."""
     values = [(t or "").encode() for t in texts]
-    seen = Counter(v[p:p + length] for v in values for p in range(len(v) - length + 1))
+    names = [[hashlib.blake2b(v[p:p + length], digest_size=12).digest() for p in range(len(v) - length + 1)] for v in values]
+    seen = Counter(n for of in names for n in of)
     out = []
-    for v in values:
-        gone = bytearray(len(v))
-        for p in range(len(v) - length + 1):
-            if seen[v[p:p + length]] > 1:
-                gone[p:p + length] = b"\1" * length
+    for v, of in zip(values, names):
+        gone, to = bytearray(len(v)), 0
+        for p, n in enumerate(of):
+            if seen[n] > 1:
+                gone[max(p, to):p + length] = b"\1" * (p + length - max(p, to))
+                to = p + length
         spans = sum(1 for q in range(len(v)) if gone[q] and (q == 0 or not gone[q - 1]))
         out.append((bytes(b for b, g in zip(v, gone) if not g), spans))
     return out

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -105,8 +106,9 @@ def test_nothing_to_learn_from(spark):
     assert (r["train_tokens"], r["n_known"], r["base_score"], r["score"]) == (0, 0, 0.0, 0.0)
 
 
-@pytest.mark.parametrize("length", [400, 60])
-def test_repeated_strings(awkward, no_docs, length):
+@pytest.mark.parametrize("length, common", [(400, 4096), (60, 1), (60, 20)])
+def test_repeated_strings(awkward, no_docs, monkeypatch, length, common):
+    monkeypatch.setattr(suffix, "COMMON", common)  # 1: no key is common
     rows = pairs(awkward)
     want = Counter((d, len((t or "").encode()), len((t or "").encode()) - len(kept), spans, brute.sha(kept))
                    for (d, t), (kept, spans) in zip(rows, brute.without_repeats([t for _, t in rows], length)))
@@ -115,6 +117,26 @@ def test_repeated_strings(awkward, no_docs, length):
     assert suffix.remove_repeats(no_docs).count() == 0
 
 
+def test_planted_passages_are_found(spark):
+    """Every row of a whole table with planted passages of 400 to 2,000 bytes, in few or in very many documents, against brute force."""
+    rnd = random.Random(11)
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    texts = dict(docs)
+    planted = Counter()
+    for k, size in enumerate([400, 401, 431, 500, 777, 1200, 2000, 450]):
+        passage = " ".join(f"{rnd.choice('aeiou')}{rnd.randrange(10**6)}" for _ in range(400))[:size]
+        assert len(passage.encode()) == size
+        for doc in rnd.sample(sorted(texts), [2, 3, 5, 20, 40, 3, 2, 500][k]):  # the last in half of all documents
+            at = rnd.randrange(len(texts[doc]) + 1)
+            texts[doc] = texts[doc][:at] + passage + texts[doc][at:]
+            planted[doc] += size
+    rows = sorted(texts.items())
+    want = Counter((d, len(t.encode()), len(t.encode()) - len(kept), spans, brute.sha(kept)) for (d, t), (kept, spans) in zip(rows, brute.without_repeats([t for _, t in rows])))
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert Counter(tuple(r) for r in got) == want
+    assert all(r["n_removed"] >= min(400, planted[r["doc_id"]]) for r in got) and len(planted) > 500
+
+
 def test_cut_repeats_keeps_columns_and_whole_characters(awkward):
     out = suffix.cut_repeats(awkward)
     assert out.schema == awkward.schema
