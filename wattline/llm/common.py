@@ -36,21 +36,28 @@ def parts(spark: SparkSession) -> int:
 SALTS = 256  # equal rows may lie in as many ranges
 
 
-def numbered(keep: Scratch, name: str, df: DataFrame, order: list[str], *by: str) -> DataFrame:
+def numbered(keep: Scratch, name: str, df: DataFrame, order: list[str], *by: str, add: str | None = None) -> DataFrame:
     """``df`` with ``pos``, the place by ``order`` among the rows of equal ``by`` (none of them null), and ``n``, their number.
 
     The rows are dealt out by ranges of (``by``, ``order``) and written; a row's place is its
     number in its range plus the counts of the ranges before, so no group is one task.
+    With ``add`` there is also ``before``, the sum of that column over the rows before.
     """
     sort = [*by, *order, "_salt"]
     spread = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     placed = keep.table(name, spread.repartitionByRange(parts(df.sparkSession), *sort).sortWithinPartitions(*sort)
                         .withColumn("_row", F.monotonically_increasing_id()).drop("_salt"))
     placed = placed.withColumn("_part", F.shiftright("_row", 33))
-    per = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    value, more = F.lit(0) if add is None else F.coalesce(F.col(add), F.lit(0)), [] if add is None else ["before"]
+    if add is not None:
+        own = Window.partitionBy("_part", *by).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn("_inside", F.coalesce(F.sum(value).over(own), F.lit(0)))
+    per = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"), F.sum(value).alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     per = per.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("n", F.sum("_n").over(Window.partitionBy(*by)))
-    return placed.join(per, [*by, "_part"]).withColumn("pos", F.col("_before") + F.col("_row") - F.col("_first")).select(*df.columns, "pos", "n")
+    per = per.withColumn("_upto", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    out = placed.join(per, [*by, "_part"]).withColumn("pos", F.col("_before") + F.col("_row") - F.col("_first"))
+    return (out if add is None else out.withColumn("before", F.col("_upto") + F.col("_inside"))).select(*df.columns, "pos", "n", *more)
 
 
 class Scratch:

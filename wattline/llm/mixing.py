@@ -3,7 +3,7 @@
 Source token shares p are raised to an exponent a and normalised: w = p^a / sum p^a.
 The exponent is bisected to meet a target entropy or a limit on repetition (a = 1
 keeps the shares, a = 0 makes sources equal).  The weights become token quotas, and
-each source fills its quota from permuted blocks of its documents: as many whole
+each source fills its quota from permuted blocks of its documents (a block for every BLOCK_TOKENS tokens and documents): as many whole
 passes as fit, each in a new order of blocks, then a last pass that ends where the
 quota does.  Documents go to blocks by hash, and a hot source has more blocks, so
 no source meets in one task.
@@ -19,10 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import WORD, Scratch
+from wattline.llm.common import WORD, Scratch, numbered
 
 BLOCK_TOKENS = 200_000
-MOST_BLOCKS = 65_536  # of one source; past it blocks grow instead
 GRID, ROUNDS = 32, 6  # exponents tried in one pass over the sources, and passes
 
 
@@ -90,7 +89,7 @@ def plan(tokens: DataFrame, entropy: float | None = None, repetition: float | No
     spark = tokens.sparkSession
     keep = Scratch(spark, "mixing")
     t = tokens.select("doc_id", source_key().alias("source"), "n_tokens")
-    counts = keep.table("counts", t.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
+    counts = keep.table("counts", t.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
     total = counts.select((F.sum("tokens")).cast("double")).scalar()
     shares = keep.table("shares", counts.withColumn("share", F.try_divide(F.col("tokens").cast("double"), total)))
     a = round(bisect_exponent(shares, entropy, repetition), 9)
@@ -106,7 +105,7 @@ def plan(tokens: DataFrame, entropy: float | None = None, repetition: float | No
         "source", "tokens", "share", "weight", "quota",
         F.when(empty, 1).otherwise(F.floor(F.try_divide(F.col("quota"), F.col("tokens")))).cast("long").alias("whole"),
         F.when(empty, 0).otherwise(F.try_mod(F.col("quota"), F.col("tokens"))).cast("long").alias("rest"),
-        F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("tokens") / block_tokens))).cast("int").alias("blocks")))
+        F.greatest(F.lit(1), F.ceil((F.col("tokens") + F.col("documents")) / block_tokens)).cast("int").alias("blocks")))
 
     placed = t.join(sources.select("source", "blocks", "whole", "rest"), "source").withColumn(
         "block", F.pmod(block_key(seed), F.col("blocks")).cast("int"))
@@ -114,9 +113,9 @@ def plan(tokens: DataFrame, entropy: float | None = None, repetition: float | No
     last = F.when(F.col("rest") > 0, F.col("whole")).otherwise(F.col("whole") - 1)
     runs = blocks.join(sources.select("source", "tokens", "quota", "whole", "rest"), "source").where(last >= 0).withColumn(
         "pass", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    order = Window.partitionBy("source", "pass").orderBy(F.xxhash64(F.lit(seed + 1), "pass", "block"), "block")
-    runs = (runs.withColumn("block_rank", F.row_number().over(order) - 1)
-            .withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")))
+    # the order of a pass's blocks and the tokens before each, by ranges: a source of any number of blocks is no single task
+    runs = numbered(keep, "ordered", runs.withColumn("_o", F.xxhash64(F.lit(seed + 1), "pass", "block")), ["_o", "block"], "source", "pass", add="size")
+    runs = runs.withColumnRenamed("pos", "block_rank").drop("_o", "n")
     partial = F.col("pass") == F.col("whole")
     runs = keep.table("runs", runs.withColumn("room", F.when(partial, F.col("rest") - F.col("before")))
                       .where(F.col("room").isNull() | (F.col("room") > 0) | ((F.col("size") == 0) & (F.col("room") >= 0))))
@@ -130,7 +129,7 @@ def plan(tokens: DataFrame, entropy: float | None = None, repetition: float | No
     at = F.try_divide((F.col("pass") * F.col("tokens") + F.col("before")).cast("double"), F.col("quota").cast("double"))
     passes = keep.table("passes", runs.join(cut, ["source", "block", "pass"], "left").select(
         "source", "block", "pass", "block_rank", F.coalesce(at, F.lit(0.0)).alias("at"), "cutoff"))
-    keep.drop("counts", "shares", "weighed", "runs")
+    keep.drop("counts", "shares", "weighed", "ordered", "runs")
     return Mix(a, sources, passes)
 
 
