@@ -124,6 +124,24 @@ def test_sketch_rank_error(spark, tmp_path):
     assert merged.count() == r.select("client_id", F.to_date("datetime_local")).distinct().count()
 
 
+def test_empty_loads_and_left_out_loads(spark, tmp_path):
+    r = some(spark, 200)
+    none = r.limit(0)
+    for name, make, key, merged in (("s", PA.slot_partials, "datetime_15min", PA.load_from), ("p", PA.daily_profiles, "client_id", PA.merge_profiles),
+                                    ("k", PA.daily_sketches, "client_id", PA.p95_from)):
+        store = PA.DayStore(spark, str(tmp_path / name))
+        store.load(make(none), "a", key)
+        assert merged(store.read()).count() == 0
+        store.load(make(r), "b", key)
+        n = merged(store.read()).count()
+        assert n > 0 and merged(PA.DayStore(spark, str(tmp_path / name)).read()).count() == n
+    store = PA.DayStore(spark, str(tmp_path / "s"))
+    store.load(PA.slot_partials(r), "wrong", "datetime_15min")
+    kept = PA.DayStore(spark, str(tmp_path / "kept"))
+    store.compact(kept, PA.merge_slots, "datetime_15min", without=("wrong",))
+    assert near(PA.load_from(kept.read()).collect()) == near(PA.load_from(PA.slot_partials(r)).collect())
+
+
 @pytest.mark.parametrize("n", [1, 20, 200])
 def test_small_clients_are_exact(spark, n):
     r = spark.createDataFrame([(1, dt.datetime(2024, 3, 1, 0, i % 60), "A", float(i * 7 % 31)) for i in range(n)], READING)

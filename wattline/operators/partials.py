@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from wattline import NATIONAL_ID, SLOT_MINUTES
 from wattline.functions.safe import exact_mean, safe_div
@@ -35,20 +36,31 @@ PROFILE_KEYS = ["client_id", "community_code", "is_weekend", "hour"]
 # ---------------------------------------------------------------- the store
 
 class DayStore:
-    """Partials with a ``day`` (date), kept per (day, load)."""
+    """Partials with a ``day`` (date), kept per (day, load).
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    A load id names one batch: running it again with rows of fewer days leaves the other
+    days' earlier rows, so a corrected batch with fewer days needs an id of its own and
+    ``compact`` without the old one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str | None = None):
+        """``schema``: that of the rows read; by default that of what this object loaded, else the files'."""
+        self.spark, self.path, self.schema = spark, path, schema
 
     def load(self, partials: DataFrame, load_id: str, cluster_by: str) -> None:
         """Write the partials of one batch; a second call with the same id replaces the days that it touches."""
         # ranges of (day, key): a day's rows lie in few files, and a heavy day is spread
         dealt = partials.withColumn("load_id", F.lit(load_id)).repartitionByRange("day", cluster_by)
+        fields = [f for f in dealt.schema.fields if f.name not in ("day", "load_id")] + [dealt.schema["day"], dealt.schema["load_id"]]
+        self.schema = self.schema or StructType([StructField(f.name, f.dataType) for f in fields])  # a load without rows writes no file
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "load_id").parquet(self.path)
 
+    def _all(self) -> DataFrame:
+        return (self.spark.read.schema(self.schema) if self.schema else self.spark.read).parquet(self.path)
+
     def read(self, start=None, end=None) -> DataFrame:
         """The partials of the days in [start, end); other days' folders are not listed."""
-        df = self.spark.read.parquet(self.path)
+        df = self._all()
         if start is not None:
             df = df.where(F.col("day") >= F.lit(str(start)).cast("date"))
         if end is not None:
@@ -57,11 +69,12 @@ class DayStore:
 
     def loads(self) -> DataFrame:
         """(day, load_id) of every partition, from the folder names alone."""
-        return self.spark.read.parquet(self.path).select("day", "load_id").distinct()
+        return self._all().select("day", "load_id").distinct()
 
-    def compact(self, into: DayStore, merge, cluster_by: str, start=None, end=None, load_id: str = "compacted") -> None:
-        """``merge`` the loads of each day into one, written to another store (readers switch when it is done)."""
-        into.load(merge(self.read(start, end)), load_id, cluster_by)
+    def compact(self, into: DayStore, merge, cluster_by: str, start=None, end=None, load_id: str = "compacted", without: tuple[str, ...] = ()) -> None:
+        """``merge`` the loads of each day (but those in ``without``) into one, written to another store (readers switch when it is done)."""
+        rows = self.read(start, end)
+        into.load(merge(rows.where(~F.col("load_id").isin(*without)) if without else rows), load_id, cluster_by)
 
 
 # ---------------------------------------------------------------- client numbers and slot partials (A1-A4)
