@@ -11,7 +11,8 @@ verified.  The first threshold of each query comes from the bucket of the longes
 vectors, and rises while a task works.
 
 Queries come in blocks and each (query block, bucket) pair is a group of its own,
-so no task holds all queries or all candidates.
+so no task holds all queries or all candidates.  A query is sent only to buckets whose
+longest vector can meet its threshold, and a bucket only to blocks that ask for it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import Scratch
+from wattline.llm.common import Scratch, numbered
 
 BUCKET_ROWS = 8192
 QUERY_ROWS = 1024
@@ -120,24 +121,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     q = q.select("query_id", F.col("s.v").alias("q"), F.col("s.n2").alias("n2"))
     blocks = max(1, -(-q.count() // query_rows))
     q = keep.table("queries", q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")))
+    lengths = keep.table("lengths", cand.groupBy("bucket").agg(F.max("n2").alias("most")))  # a row per bucket
 
-    def hits(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Every query block against every bucket of ``right``: a group per (block, bucket)."""
-        there = [r[0] for r in right.select("bucket").distinct().collect()]  # one row per bucket
-        l = left.withColumn("bucket", F.explode(F.array(*[F.lit(b) for b in there]))) if there else left.withColumn("bucket", F.lit(0))
-        r = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    def hits(name: str, left: DataFrame) -> DataFrame:
+        """Query blocks against buckets: a group per pair of which a query still asks for the bucket (column ``bucket``)."""
+        pairs = keep.table(name, left.select("block", "bucket").distinct())
 
         def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             found = search_bucket(a, b, k) if len(a) and len(b) else []
             return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-        return l.groupBy("block", "bucket").cogroup(r.groupBy("block", "bucket")).applyInPandas(search, HIT)
+        return left.groupBy("block", "bucket").cogroup(cand.join(pairs, "bucket").groupBy("block", "bucket")).applyInPandas(search, HIT)
 
-    unbound = q.withColumn("least", F.lit(None).cast("long"))
-    first = keep.table("first", hits(unbound, cand.where(F.col("bucket") == F.lit(top))))
+    first = keep.table("first", hits("first-pairs", q.withColumns({"least": F.lit(None).cast("long"), "bucket": F.lit(top or 0)})))
     # the k-th best of the longest vectors: a score that k rows are known to reach
     least = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-    rest = hits(q.join(least, "query_id", "left"), cand.where(F.col("bucket") != F.lit(top)))
+    # a candidate must be this long; queries of like needs share a block, and no block is sent to buckets that are too short for all of it
+    need = F.coalesce(F.when((F.col("least") > 0) & (F.col("n2") > 0), F.col("least") / F.sqrt(F.col("n2").cast("double"))), F.lit(0.0)) * (1 - 1e-9)
+    bound = numbered(keep, "by_need", q.drop("block").join(least, "query_id", "left").withColumn("need", need), ["need", "query_id"])
+    bound = bound.withColumn("block", F.floor(F.col("pos") / query_rows).cast("int")).drop("pos", "n")
+    last = lengths.agg(F.max("bucket")).first()[0]
+    others = F.explode(F.sequence(F.lit(top + 1), F.lit(last))) if last is not None and last > top else F.explode(F.array().cast("array<int>"))
+    asks = bound.withColumn("bucket", others).join(lengths, "bucket").where(F.sqrt(F.col("most").cast("double")) >= F.col("need")).drop("most", "need")
+    rest = hits("rest-pairs", asks)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (first.unionByName(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
