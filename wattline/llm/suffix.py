@@ -229,15 +229,15 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, carried: Column | No
     # a name that occurs twice, and its first segment, which alone asks for its pointer
     twice = keep.table("twice", seg.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "nth", "pointer")).alias("one")).where(F.col("n") > 1))
     common, rare = common_keys(twice)
-    names_ = [(r["h1"], r["h2"]) for r in common.select("h1", "h2").collect()]  # at most COMMON
-    hot_names = np.array(sorted(names_), np.int64).reshape(-1, 2)
+    common_names = [(r["h1"], r["h2"]) for r in common.select("h1", "h2").collect()]  # at most COMMON
+    hot_names = np.array(sorted(common_names), np.int64).reshape(-1, 2)
 
     def hot_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A text's segments of common names as one row (or a few): no row per segment."""
         for batch in batches:
             h1, h2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            hit = np.flatnonzero(np.isin(h1, hot_names[:, 0]))
-            hit = np.array([i for i in hit if (h1[i], h2[i]) in hot_set], np.int64)
+            at = np.minimum(np.searchsorted(hot_names[:, 0], h1), len(hot_names) - 1)
+            hit = np.flatnonzero((hot_names[at, 0] == h1) & (hot_names[at, 1] == h2))
             ks, nth = batch.column(0).to_numpy()[hit], batch.column(1).to_numpy()[hit]
             order = np.argsort(ks, kind="stable")
             ks, nth = ks[order], nth[order]
@@ -245,10 +245,9 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, carried: Column | No
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(ks)).astype(np.int32)), pa.array(nth))
             yield pa.RecordBatch.from_arrays([pa.array(ks[first]), lists], names=["_k", "settled"])
 
-    hot_set = set(map(tuple, hot_names.tolist()))
     rest = keep.table("rest", seg.join(F.broadcast(common.select("h1", "h2")), ["h1", "h2"], "left_anti").join(
         rare.select("h1", "h2", F.lit(True).alias("settled")).hint("merge"), ["h1", "h2"], "left").select("_k", "nth", "pointer", F.coalesce("settled", F.lit(False)).alias("settled")))
-    of_hot = keep.table("of_hot", seg.select("_k", "nth", "h1", "h2").mapInArrow(hot_lists, "_k long, settled array<int>"))
+    of_hot = keep.table("of_hot", seg.where(F.col("h1").isin([h for h, _ in common_names])).select("_k", "nth", "h1", "h2").mapInArrow(hot_lists, "_k long, settled array<int>"))
     asking = rest.where("not settled").unionByName(twice.select(F.col("one._k").alias("_k"), F.col("one.nth").alias("nth"), F.col("one.pointer").alias("pointer"), F.lit(True).alias("settled")))
     unsettled = keep.table("unsettled", asking.groupBy("pointer").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("settled"), 2).otherwise(1)).alias("of"), F.bool_and("settled").alias("all")).where(
