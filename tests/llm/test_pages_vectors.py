@@ -41,6 +41,8 @@ def test_normaliser_rewrites_each_record_as_a_member(spark, tmp_path):
     assert gzip.decompress(raw) == b"".join(records)
     lines = (tmp_path / "a.members.warc.gz.idx").read_text().splitlines()
     assert [line.split("\t") for line in lines] == [[str(r["offset"]), str(r["length"]), r["record_id"], r["record_type"]] for r in index]
+    rewritten = spark.createDataFrame([(r["path"],) for r in index[:1]], "path string")
+    assert sorted(map(tuple, warc.read_index(rewritten, str(tmp_path)).collect())) == sorted(map(tuple, index))
 
 
 def test_broken_stream_is_an_error():

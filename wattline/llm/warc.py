@@ -167,6 +167,20 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
     return files.select("path").mapInArrow(run, INDEX)
 
 
+def read_index(files: DataFrame, folder: str) -> DataFrame:
+    """INDEX rows from the sidecars of rewritten ``files`` (path), as a reader finds them that was not there when they were written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = open_fs(folder)
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with fs.open_input_stream(f"{path}.idx", compression=None) as f:
+                    rows = [(path, int(at), int(size), record, kind) for at, size, record, kind in (line.split("\t") for line in f.read().decode().splitlines())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["path", "offset", "length", "record_id", "record_type"])
+
+    return files.select("path").mapInArrow(run, INDEX)
+
+
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """RECORDS rows, each record opened by its offset.  A response's digest is that of the bytes read."""
 
@@ -207,5 +221,5 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     folder = f"{keep.path}/archives"
     files = keep.table("files", write_archives(decide(pages), folder))
     n = files.count()
-    index = keep.table("index", normalise(files.repartition(max(n, 1)), folder))
-    return read_records(index.repartition(max(n, 1), "path"), folder)
+    rewritten = keep.table("rewritten", normalise(files.repartition(max(n, 1)), folder).groupBy("path").agg(F.count(F.lit(1)).alias("records")))
+    return read_records(read_index(rewritten.repartition(max(n, 1), "path"), folder), folder)
