@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattline.llm import fingerprint, katz, mixing, neardup, packing, quality, suffix, tokencount
+from wattline.llm.common import Scratch
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -172,6 +173,33 @@ def test_links_between_members_that_the_leader_misses(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(brute.near_groups(rows))
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Edges that one step turns into stars get one step; a path gets as many as it needs."""
+    made, table = [], Scratch.table
+
+    def noted(self, name, df):
+        made.append(name)
+        return table(self, name, df)
+
+    monkeypatch.setattr(Scratch, "table", noted)
+    keep = Scratch(spark, "components")
+    star = spark.createDataFrame([(9, 1), (1, 8), (7, 1), (5, 4), (4, 4), (9, 1)], "a long, b long")
+    assert sorted(map(tuple, neardup.components(star, keep, "star").collect())) == [(5, 4), (7, 1), (8, 1), (9, 1)]
+    assert made == ["star-0", "star-1"]
+    path = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 51), (52, 51), (53, 52), (50, 53)], "a long, b long")
+    assert dict(map(tuple, neardup.components(path, keep, "path").collect())) == {i: 1 for i in range(2, 41)} | {51: 50, 52: 50, 53: 50}
+    assert neardup.components(path.limit(0), keep, "none").count() == 0
+
+
+def test_fine_estimate_is_no_part_of_a_join_condition(spark):
+    """64 words of a signature in the condition make a method that the JVM does not compile."""
+    df = spark.createDataFrame([(1, [0] * 32), (1, [-1] + [0] * 31)], "key long, fine array<long>")
+    both = df.withColumnRenamed("fine", "fa").join(df.withColumnRenamed("fine", "fb"), "key").where(neardup.fine_estimate("fa", "fb") >= 0.95)
+    assert sorted(r[0] for r in both.select(neardup.fine_estimate("fa", "fb")).collect()) == [1.0, 1.0]
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "bit_count" not in plan and "ArrowEvalPython" in plan
+
+
 def test_estimates_of_short_sets_keep_every_link(spark):
     """Pairs of a few shingles at a similarity of exactly 0.8, by (common, only left, only right)."""
     rnd, rows, pairs_ = np.random.default_rng(4), [], []
