@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wattline.llm import fingerprint, katz, mixing, neardup, packing, quality, suffix, tokencount
+from wattline.llm import common, fingerprint, katz, mixing, neardup, packing, quality, suffix, tokencount
 from wattline.llm.common import Scratch
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -220,6 +220,27 @@ def test_estimates_of_short_sets_keep_every_link(spark):
         assert got.fine[i:i + 200].std() == pytest.approx(2 * (0.1 * 0.9 / neardup.FINE) ** 0.5, rel=0.3)
 
 
+def test_signing_keeps_little_memory(monkeypatch):
+    """A worker signs a large batch in small parts: the tables of powers that it keeps stay at 8 MB each."""
+    import pyarrow as pa
+
+    class Here:
+        def withColumn(self, *a):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([batch])))
+
+    monkeypatch.setattr(common, "_POWERS", {})
+    monkeypatch.setattr(neardup, "texts", lambda docs: docs)
+    monkeypatch.setattr(neardup.F, "xxhash64", lambda *a: None)
+    n = 1500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([f"{i} word " * 200 for i in range(n)]), pa.array(range(n))], names=["doc_id", "text", "text_key"])
+    out = neardup.signed(Here())
+    assert sum(b.num_rows for b in out) == n and len(out) > 1
+    assert max(map(len, common._POWERS.values())) <= 1 << 20
+
+
 def test_keep_one_of_each_group(awkward):
     kept = neardup.keep_one(awkward)
     assert kept.columns == awkward.columns

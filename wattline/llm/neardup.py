@@ -38,6 +38,7 @@ BANDS, ROWS, BITS = 32, 4, 4
 PERMUTATIONS = BANDS * ROWS
 ESTIMATE_FROM = 0.62
 FINE, FINE_FROM = 2048, 0.735
+CHUNK = 1 << 19  # bytes of text hashed at once; tables of powers of twice that size stay with a worker
 SIGNED = "doc_id long, text_key long, n_shingles long, cls binary, sig array<long>, bands array<long>"
 _MULTIPLY = (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -145,7 +146,7 @@ def signed(docs: DataFrame, size: int = 4) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_pylist()
-            for lo, hi, values in text_chunks(b.column(1)):
+            for lo, hi, values in text_chunks(b.column(1), CHUNK):
                 h, at = shingle_sets(values, size)
                 n = np.diff(at)
                 least = minima(h, at)
@@ -163,7 +164,7 @@ def full_sets(docs: DataFrame, size: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, values in text_chunks(b.column(0)):
+            for lo, hi, values in text_chunks(b.column(0), CHUNK):
                 h, at = shingle_sets(values, size)
                 sets = [h[at[i]:at[i + 1]] for i in range(hi - lo) if at[i + 1] > at[i]]
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.binary()),
