@@ -35,6 +35,23 @@ def test_sweep_takes_the_best_of_ten_starts(spark):
     assert math.isclose(C.sweep_k(points, ks=[7]).first().inertia, best, rel_tol=1e-9)
 
 
+def test_fits_keep_their_own_decoded_vectors(spark, monkeypatch):
+    """KMeans keeps the vectors of a fit only where its input is not cached itself; else each pass decodes them anew."""
+    from pyspark.ml.linalg import Vectors
+
+    seen = []
+
+    class Seen(C.KMeans):
+        def fit(self, dataset, params=None):
+            seen.append((dataset.storageLevel.useMemory, self.getSolver()))
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(C, "KMeans", Seen)
+    points = spark.createDataFrame([(i, Vectors.dense([float(i % 5), float(i % 3)])) for i in range(30)], ["client_id", "features"]).coalesce(1)
+    assert C.sweep_k(points, ks=[2, 3], starts=2).count() == 2
+    assert seen == [(False, "row")] * 4
+
+
 def test_tree_beats_seasonal_on_weekly_pattern(spark):
     base = dt.datetime(2024, 1, 1)
     rows = []

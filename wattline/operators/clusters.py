@@ -51,9 +51,15 @@ def best_of(scaled: DataFrame, k: int, seed: int, starts: int):
 
 
 def _best_of_each(scaled: DataFrame, ks: list[int], seed: int, starts: int) -> list:
-    """The model of least cost for every k, all starts of all k fitted side by side."""
+    """The model of least cost for every k, all starts of all k fitted side by side.
+
+    A fit gets a view that is not itself cached, so KMeans keeps its decoded vectors for the
+    fit's 20-odd passes (they spill) instead of decoding ``scaled`` anew in each; the row
+    solver needs no pass to choose one.
+    """
     tried = [(k, i) for k in ks for i in range(starts)]
-    models = _side_by_side(scaled.sparkSession, lambda t: KMeans(k=t[0], seed=seed + t[1], featuresCol="features").fit(scaled), tried)
+    vectors = scaled.select("features")
+    models = _side_by_side(scaled.sparkSession, lambda t: KMeans(k=t[0], seed=seed + t[1], featuresCol="features", solver="row").fit(vectors), tried)
     return [min((m for (of, _), m in zip(tried, models) if of == k), key=lambda m: m.summary.trainingCost) for k in ks]
 
 
