@@ -191,13 +191,13 @@ def test_components_stop_at_stars(spark, monkeypatch):
     assert neardup.components(path.limit(0), keep, "none").count() == 0
 
 
-def test_fine_estimate_is_no_part_of_a_join_condition(spark):
-    """64 words of a signature in the condition make a method that the JVM does not compile."""
+def test_fine_estimate_is_a_short_condition(spark):
+    """32 words written out in a join's condition make a method that the JVM does not compile."""
     df = spark.createDataFrame([(1, [0] * 32), (1, [-1] + [0] * 31)], "key long, fine array<long>")
     both = df.withColumnRenamed("fine", "fa").join(df.withColumnRenamed("fine", "fb"), "key").where(neardup.fine_estimate("fa", "fb") >= 0.95)
     assert sorted(r[0] for r in both.select(neardup.fine_estimate("fa", "fb")).collect()) == [1.0, 1.0]
     plan = both._jdf.queryExecution().executedPlan().toString()
-    assert "Join" in plan and "bit_count" not in plan and "ArrowEvalPython" in plan
+    assert "Join" in plan and 0 < plan.count("bit_count") < 8
 
 
 def test_estimates_of_short_sets_keep_every_link(spark):
