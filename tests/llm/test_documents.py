@@ -388,6 +388,45 @@ def test_plans_are_minimal_on_small_tables():
         assert proven and sum(n for _, n in plan) == least(items, capacity), (capacity, items)
 
 
+def test_word_ids_forget_the_words_seen_once_and_keep_the_others():
+    words = packing.WordIds(WORD, most=100)
+    for i in range(20):
+        batch = ["the lamp, the wattline. the " + " ".join(f"w{i}x{j}" for j in range(60))]
+        assert words.encode(batch)[0].tolist() == words.tokenizer.encode(batch[0], add_special_tokens=False).ids
+        assert len(words.slot) <= 100 + 64
+    words._forget()  # what every text holds stays known through it
+    assert set(words.slot) == {"", "the", "lamp,", "wattline."}
+
+
+def test_a_worker_tokenizes_and_cuts_texts_in_small_parts(monkeypatch):
+    import pyarrow as pa
+
+    texts_ = ["ab " * 4000] * 200  # 2.4 MB
+    got = []
+
+    class Plan:
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Words:
+        def encode(self, batch):
+            got.append(sum(map(len, batch)))
+            return [np.zeros(3, np.uint32) for _ in batch]
+
+    monkeypatch.setattr(packing, "texts", lambda docs: Plan())
+    monkeypatch.setattr(packing, "word_ids", lambda path: Words())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts_)], names=["doc_id", "text"])
+    rows = [r for out in packing.cut_pieces(None, WORD)([batch]) for r in out.column(0).to_pylist()]
+    assert rows == list(range(200)) and max(got) <= packing.CHUNK
+
+    spans = [None, [], [3, 9], [0, 3, 11_997, 12_000]] * 50
+    batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array([12_000] * 200), pa.array(spans, pa.list_(pa.int64()))], names=["doc_id", "text", "n_chars", "cut"])
+    out = list(suffix.cut_batches([batch], ["doc_id", "text", "n_chars"]))
+    assert max(b.num_rows for b in out) * 12_000 <= suffix.CHUNK
+    assert [r for b in out for r in zip(*(c.to_pylist() for c in b.columns))] == [
+        (i, t, len(t)) for i, s in enumerate(spans) for t in [suffix.kept_bytes(texts_[i].encode(), s).decode()]]
+
+
 def test_word_ids_equal_the_tokenizer():
     words = packing.WordIds(WORD, most=50)
     odd = ["It's İstanbul <|endoftext|>. x<|startoftext|>,y ... é. ΣΣ.  ,. QÉ, don't. 12, a1.", "\x1c f. 'S. ''ll, '", "", " ", "\n\n", ".", ",", "A.",

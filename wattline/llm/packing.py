@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import Scratch, parts, texts
+from wattline.llm.common import Scratch, parts, text_chunks, texts
 
 CAPACITY = 2048
 STEPS = 100_000
+CHUNK = 1 << 19  # bytes of text encoded at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -55,27 +56,41 @@ class WordIds:
     The vocabulary's pattern drops white space and matches nothing across it, so
     the ids of a text are the ids of its space-separated words in order.  It also
     ignores case and ends a run of letters at a full stop or comma, so such words
-    are put together from their parts.  The memory of words is emptied when it
-    holds ``most`` of them.
+    are put together from their parts.  When the memory of words holds ``most`` of
+    them, those seen once go, and all but the most frequent half of ``most``.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self._reset()
-
-    def _reset(self) -> None:
         self.slot = _Slots()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0  # ids of all words; room doubles
         self.at, self.n, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 1
+        self.seen = np.zeros(1 << 16, np.int64)
+
+    def _forget(self) -> None:
+        """Room for new words; counts are halved, so that words once frequent go in time."""
+        seen = self.seen[:self.known]
+        kept = np.flatnonzero(seen[1:] > 1) + 1
+        kept = np.sort(kept[np.argsort(-seen[kept], kind="stable")[:self.most // 2]])
+        words = list(self.slot)
+        n = self.n[kept].astype(np.int64)
+        end = np.cumsum(n)
+        ids = self.flat[np.repeat(self.at[kept] - end + n, n) + np.arange(n.sum())]
+        self.slot = _Slots()
+        self.slot.update((words[k], i) for i, k in enumerate(kept.tolist(), 1))
+        self.known, self.used = len(kept) + 1, len(ids)
+        self.flat[:self.used] = ids
+        for of, value in ((self.n, n), (self.at, end - n), (self.seen, seen[kept] // 2)):
+            of[0], of[1:self.known], of[self.known:] = 0, value, 0
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         """A run of Latin-1 letters is one merge unit; anything else goes through the whole tokenizer."""
         out: list = [None] * len(words)
         rest, merge = [], self.tokenizer.model.tokenize
         for i, w in enumerate(words):
-            if w.isalpha() and max(w) < "\u0100":
+            if w.isalpha() and (w.isascii() or max(w) < "\u0100"):
                 unit = w if w.isascii() else "".join(map(_BYTE_CHARS.__getitem__, w.encode()))
                 out[i] = [t.id for t in merge(unit)]
             else:
@@ -87,7 +102,7 @@ class WordIds:
     @staticmethod
     def _parts(word: str) -> tuple[str, str]:
         body, end = (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].isalpha() else (word, "")
-        return (body.lower() if body.isalpha() and max(body) < "\u0100" else body), end
+        return (body.lower() if body.isalpha() and (body.isascii() or max(body) < "\u0100") else body), end
 
     def _learn(self) -> None:
         """Ids of the words that were looked up since the last call."""
@@ -110,7 +125,7 @@ class WordIds:
         while end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.slot) > len(self.n):
-            self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.zeros_like(self.n)])
+            self.at, self.n, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n, self.seen))
         self.flat[self.used:end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - self.used)
         self.n[self.known:len(self.slot)] = n
         self.at[self.known:len(self.slot)] = self.used + np.cumsum(n) - n
@@ -118,11 +133,12 @@ class WordIds:
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.slot) > self.most:
-            self._reset()
+            self._forget()
         words = [t.replace("\n", " ").split(" ") for t in batch]
         slots = [np.fromiter(map(self.slot.__getitem__, w), np.int64, len(w)) for w in words]
         self._learn()
         flat = np.concatenate(slots)
+        self.seen[:self.known] += np.bincount(flat, minlength=self.known)
         n = self.n[flat].astype(np.int64)
         end = np.cumsum(n)
         ids = self.flat[np.repeat(self.at[flat] - end + n, n) + np.arange(end[-1])]
@@ -152,10 +168,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, last_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         for b in batches:
-            ids, text = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for a in range(0, len(ids), 256):
+            ids = b.column(0).to_pylist()
+            for lo, hi, values in text_chunks(b.column(1), CHUNK):
                 out = []
-                for doc, got in zip(ids[a:a + 256], words.encode(text[a:a + 256])):
+                for doc, got in zip(ids[lo:hi], words.encode([v.decode() for v in values])):
                     got = np.append(got, np.uint32(last_id)).astype("<u4")
                     for k, s in enumerate(range(0, len(got), capacity)):
                         piece = got[s:s + capacity]
