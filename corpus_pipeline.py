@@ -42,7 +42,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, word_tokenizer())
+    return packing.pack(docs, word_tokenizer(), words_kept=400_000)  # a worker that packs stays for other stages
 
 
 STAGES = [

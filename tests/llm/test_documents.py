@@ -414,7 +414,7 @@ def test_a_worker_tokenizes_and_cuts_texts_in_small_parts(monkeypatch):
             return [np.zeros(3, np.uint32) for _ in batch]
 
     monkeypatch.setattr(packing, "texts", lambda docs: Plan())
-    monkeypatch.setattr(packing, "word_ids", lambda path: Words())
+    monkeypatch.setattr(packing, "word_ids", lambda path, most: Words())
     batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts_)], names=["doc_id", "text"])
     rows = [r for out in packing.cut_pieces(None, WORD)([batch]) for r in out.column(0).to_pylist()]
     assert rows == list(range(200)) and max(got) <= packing.CHUNK

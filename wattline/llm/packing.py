@@ -33,6 +33,7 @@ from wattline.llm.common import Scratch, parts, text_chunks, texts
 CAPACITY = 2048
 STEPS = 100_000
 CHUNK = 1 << 19  # bytes of text encoded at once
+WORDS = 1_000_000  # whose ids a worker keeps
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -60,14 +61,14 @@ class WordIds:
     them, those seen once go, and all but the most frequent half of ``most``.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.slot = _Slots()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0  # ids of all words; room doubles
         self.at, self.n, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 1
-        self.seen = np.zeros(1 << 16, np.int64)
+        self.seen = np.zeros(1 << 16, np.int32)
 
     def _forget(self) -> None:
         """Room for new words; counts are halved, so that words once frequent go in time."""
@@ -157,16 +158,16 @@ _BYTE_CHARS = _byte_chars()
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int) -> WordIds:
     """One per worker process, so that the next task finds the words of the last."""
-    return WordIds(path)
+    return WordIds(path, most)
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, last_id: int = 0) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, last_id: int = 0, words_kept: int = WORDS) -> DataFrame:
     """Token pieces of whole texts: ids of the text, then ``last_id``; only longer documents are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer)
+        words = word_ids(tokenizer, words_kept)
         for b in batches:
             ids = b.column(0).to_pylist()
             for lo, hi, values in text_chunks(b.column(1), CHUNK):
@@ -418,15 +419,16 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 200
     return best_plan(counts, capacity, nodes, steps)[0]
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, last_id: int = 0, nodes: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, last_id: int = 0, nodes: int = 2000, words_kept: int = WORDS) -> DataFrame:
     """One row per piece with its sequence and its gapless place there.
 
     Null text is empty (its one piece is ``last_id`` alone); a null doc_id stays null;
     repeated rows are packed as often as they occur; an empty table gives no rows.
+    ``words_kept`` trades a worker's memory for time, with the same rows.
     """
     spark = docs.sparkSession
     keep = Scratch(spark, "packing")
-    pieces = keep.table("pieces", cut_pieces(docs, tokenizer, capacity, last_id))
+    pieces = keep.table("pieces", cut_pieces(docs, tokenizer, capacity, last_id, words_kept))
     salts = parts(spark)
     pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     per_salt = pieces.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
