@@ -434,3 +434,27 @@ def test_word_ids_equal_the_tokenizer():
     for batch in (odd, odd[::-1], odd):
         for text, ids in zip(batch, words.encode(batch)):
             assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_word_ids_need_the_whole_tokenizer_only_for_odd_words():
+    words = packing.WordIds(WORD)
+    whole, asked, merged = words.tokenizer, [], []
+
+    class Model:
+        def tokenize(self, unit):
+            merged.append(unit)
+            return whole.model.tokenize(unit)
+
+    class Counting:
+        model = Model()
+
+        def encode_batch_fast(self, batch, **how):
+            asked.extend(batch)
+            return whole.encode_batch_fast(batch, **how)
+
+    words.tokenizer = Counting()
+    text = "Lamp.*** lamp%%% LAMP, É1lamp É--lamp12, ..lamp &lamp; lamp> don't <|endoftext|> ²x"
+    for again in range(2):
+        assert words.encode([text, "lamp"])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert asked == ["don't", "<|endoftext|>", "²x"]
+    assert len(merged) == len(set(merged)) and merged.count("lamp") == 1

@@ -16,11 +16,13 @@ single task.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, repeat
 from math import gcd
 
 import numpy as np
@@ -56,8 +58,8 @@ class WordIds:
 
     The vocabulary's pattern drops white space and matches nothing across it, so
     the ids of a text are the ids of its space-separated words in order.  It also
-    ignores case and ends a run of letters at a full stop or comma, so such words
-    are put together from their parts.  When the memory of words holds ``most`` of
+    ignores case and ends a run of letters at a digit or mark, so words of Latin-1
+    letters and ASCII are put together from their parts.  When the memory of words holds ``most`` of
     them, those seen once go, and all but the most frequent half of ``most``.
     """
 
@@ -81,56 +83,62 @@ class WordIds:
         ids = self.flat[np.repeat(self.at[kept] - end + n, n) + np.arange(n.sum())]
         self.slot = _Slots()
         self.slot.update((words[k], i) for i, k in enumerate(kept.tolist(), 1))
-        self.known, self.used = len(kept) + 1, len(ids)
-        self.flat[:self.used] = ids
+        self.known, self.used = len(kept) + 1, 0
+        self._keep(ids)
         for of, value in ((self.n, n), (self.at, end - n), (self.seen, seen[kept] // 2)):
             of[0], of[1:self.known], of[self.known:] = 0, value, 0
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        """A run of Latin-1 letters is one merge unit; anything else goes through the whole tokenizer."""
-        out: list = [None] * len(words)
-        rest, merge = [], self.tokenizer.model.tokenize
-        for i, w in enumerate(words):
-            if w.isalpha() and (w.isascii() or max(w) < "\u0100"):
-                unit = w if w.isascii() else "".join(map(_BYTE_CHARS.__getitem__, w.encode()))
-                out[i] = [t.id for t in merge(unit)]
-            else:
-                rest.append(i)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
-            out[i] = e.ids
-        return out
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        body, end = (word[:-1], word[-1]) if word[-1] in ".," and word[-2:-1].isalpha() else (word, "")
-        return (body.lower() if body.isalpha() and (body.isascii() or max(body) < "\u0100") else body), end
+    def _keep(self, ids: np.ndarray) -> int:
+        """Where ``ids`` are put in ``flat``, behind those there."""
+        at, self.used = self.used, self.used + len(ids)
+        while self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[at:self.used] = ids
+        return at
 
     def _learn(self) -> None:
-        """Ids of the words that were looked up since the last call."""
+        """Ids of the words that were looked up since the last call, word lists and id arrays being taken as wholes."""
         new, self.slot.new = self.slot.new, []
-        parts = [self._parts(w) for w in new]
-        todo = [p for p in {p for pair in parts for p in pair if p} if self.slot.get(p, self.known) >= self.known]
-        unit = dict(zip(todo, self._encode(todo)))  # parts that are words seen before are taken from there
-        ids = []
-        for pair in parts:
-            got: list[int] = []
-            for p in pair:
-                if p in unit:
-                    got += unit[p]
-                elif p:
-                    k = self.slot[p]
-                    got += self.flat[self.at[k]:self.at[k] + self.n[k]].tolist()
-            ids.append(got)
-        n = np.fromiter(map(len, ids), np.int32, len(ids))
-        end = self.used + int(n.sum())
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.slot) > len(self.n):
             self.at, self.n, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n, self.seen))
-        self.flat[self.used:end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - self.used)
-        self.n[self.known:len(self.slot)] = n
-        self.at[self.known:len(self.slot)] = self.used + np.cumsum(n) - n
-        self.used, self.known = end, len(self.slot)
+        plain = np.fromiter((m is not None for m in map(_PLAIN, new)), bool, len(new))
+        number = np.arange(self.known, len(self.slot))
+        for words, to, learn in ((list(compress(new, plain)), number[plain], self._learn_plain), (list(compress(new, ~plain)), number[~plain], self._learn_other)):
+            if words:
+                self.at[to], self.n[to] = learn(words)
+        self.known = len(self.slot)
+
+    def _learn_other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(start, number) of the words' ids in ``flat``, from the whole tokenizer."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return self._keep(np.fromiter(chain.from_iterable(ids), np.uint32, n.sum())) + np.cumsum(n) - n, n
+
+    def _learn_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of Latin-1 letters and ASCII: a run of letters, a digit and a run of marks are a merge unit each.
+
+        Units that are words seen before are taken from there, each other one is merged once.
+        """
+        units = _UNIT.findall(" ".join(words).lower())  # of all words, with a space between two words
+        place = {u: i for i, u in enumerate(dict.fromkeys([" ", *units]))}
+        have = np.fromiter(map(self.slot.get, place, repeat(self.known)), np.int64, len(place))
+        todo = have >= self.known
+        todo[0] = False
+        have[have >= self.known] = 0  # the empty word, without ids, as for the space
+        at, n = self.at[have], self.n[have].astype(np.int64)
+        merge, before = self.tokenizer.model.tokenize, self.used
+        ids = [[t.id for t in merge(u)] for u in _in_byte_chars(" ".join(compress(place, todo))).split()]
+        n[todo] = m = np.fromiter(map(len, ids), np.int64, len(ids))
+        at[todo] = self._keep(np.fromiter(chain.from_iterable(ids), np.uint32, m.sum())) + np.cumsum(m) - m
+
+        of = np.fromiter(map(place.__getitem__, units), np.int64, len(units))
+        at, n = at[of], n[of]
+        end = np.cumsum(n)
+        put = self.flat[np.repeat(at - end + n, n) + np.arange(end[-1])]
+        self.used = before  # the units' own ids are needed no longer
+        upto = np.append(end[of == 0], end[-1])
+        n = np.diff(upto, prepend=0)
+        return self._keep(put) + upto - n, n
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.slot) > self.most:
@@ -147,14 +155,21 @@ class WordIds:
         return np.split(ids, cut[:-1])
 
 
-def _byte_chars() -> list[str]:
-    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+def _byte_chars() -> str:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from 256 on; a space stays."""
+    plain = [32, *range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter([c for c in range(256, 512) if c != 256 + 32])
+    return "".join(chr(b) if b in plain else chr(next(other)) for b in range(256))
 
 
 _BYTE_CHARS = _byte_chars()
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(f"[!-&(-;=-~{_LETTERS}]+").fullmatch  # no ' of a contraction, no < of a special token
+_UNIT = re.compile(f" |[{_LETTERS}]+|[0-9]|[^ 0-9{_LETTERS}]+")
+
+
+def _in_byte_chars(text: str) -> str:
+    return codecs.charmap_decode(text.encode(), "strict", _BYTE_CHARS)[0]
 
 
 @lru_cache(maxsize=1)
