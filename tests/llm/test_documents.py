@@ -458,3 +458,24 @@ def test_word_ids_need_the_whole_tokenizer_only_for_odd_words():
         assert words.encode([text, "lamp"])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
     assert asked == ["don't", "<|endoftext|>", "²x"]
     assert len(merged) == len(set(merged)) and merged.count("lamp") == 1
+
+
+def test_short_words_seen_before_are_found_without_a_string(monkeypatch):
+    asked = []
+
+    class Asked(packing._Slots):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(packing, "_Slots", Asked)
+    words = packing.WordIds(WORD)
+    long = "x" * 17
+    texts_ = [f"the  lamp\x00 lamp\n{'é' * 8} {long} ", "", f"{long} lamp {'y' * 16} {'y' * 15}", "\x00" * 16 + " " + "\x00" * 8]
+    for again in range(3):
+        asked.clear()
+        for text, ids in zip(texts_, words.encode(texts_)):
+            assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked == [long, long]
+    words._forget()
+    assert words.encode(texts_)[0].tolist() == words.tokenizer.encode(texts_[0], add_special_tokens=False).ids

@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import Scratch, parts, text_chunks, texts
+from wattline.llm.common import Scratch, mix, parts, text_chunks, texts
 
 CAPACITY = 2048
 STEPS = 100_000
 CHUNK = 1 << 19  # bytes of text encoded at once
 WORDS = 1_000_000  # whose ids a worker keeps
+_SPACES = np.frombuffer(b" " * 8, "<u8")[0]
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of 8 bytes
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -59,8 +61,9 @@ class WordIds:
     The vocabulary's pattern drops white space and matches nothing across it, so
     the ids of a text are the ids of its space-separated words in order.  It also
     ignores case and ends a run of letters at a digit or mark, so words of Latin-1
-    letters and ASCII are put together from their parts.  When the memory of words holds ``most`` of
-    them, those seen once go, and all but the most frequent half of ``most``.
+    letters and ASCII are put together from their parts.  When the memory of words
+    holds ``most`` of them, those seen once go, and all but the most frequent half
+    of ``most``.
     """
 
     def __init__(self, path: str, most: int = WORDS):
@@ -71,6 +74,8 @@ class WordIds:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0  # ids of all words; room doubles
         self.at, self.n, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 1
         self.seen = np.zeros(1 << 16, np.int32)
+        self.front = np.empty((1 << max(self.most.bit_length(), 4), 3), np.uint64)
+        self.front[:] = _SPACES, _SPACES, 0  # the empty word
 
     def _forget(self) -> None:
         """Room for new words; counts are halved, so that words once frequent go in time."""
@@ -87,6 +92,7 @@ class WordIds:
         self._keep(ids)
         for of, value in ((self.n, n), (self.at, end - n), (self.seen, seen[kept] // 2)):
             of[0], of[1:self.known], of[self.known:] = 0, value, 0
+        self.front[:] = _SPACES, _SPACES, 0
 
     def _keep(self, ids: np.ndarray) -> int:
         """Where ``ids`` are put in ``flat``, behind those there."""
@@ -140,18 +146,42 @@ class WordIds:
         n = np.diff(upto, prepend=0)
         return self._keep(put) + upto - n, n
 
+    def _numbers(self, batch: list[str]) -> np.ndarray:
+        """The slots of all words of the texts, one after another.
+
+        Words of at most 16 bytes are first sought in ``front``, a row per hash value with the bytes and
+        the slot of the latest such word there: no Python string is made of those found.
+        """
+        raw = " ".join(batch).replace("\n", " ").encode()
+        data = np.frombuffer(raw + b" " * 16, np.uint8)
+        end = np.flatnonzero(data[:len(raw) + 1] == 32)
+        start = np.concatenate([[0], end[:-1] + 1])
+        size = end - start
+        eight = np.ndarray(len(raw) + 9, "<u8", data, strides=(1,))  # the 8 bytes from each place on
+        key = np.empty((len(start), 3), np.uint64)
+        for i in (0, 1):
+            own = _FIRST[np.clip(size - 8 * i, 0, 8)]
+            key[:, i] = eight[start + 8 * i] & own | _SPACES & ~own  # no word has a space, so this says its length too
+        row = (mix(key[:, 0] + mix(key[:, 1])) & np.uint64(len(self.front) - 1)).view(np.int64)
+        there = self.front[row]
+        out = there[:, 2].astype(np.int64)
+        miss = np.flatnonzero((there[:, 0] != key[:, 0]) | (there[:, 1] != key[:, 1]) | (size > 16))
+        out[miss] = np.fromiter(map(self.slot.__getitem__, [raw[s:e].decode() for s, e in zip(start[miss].tolist(), end[miss].tolist())]), np.int64, len(miss))
+        miss = miss[size[miss] <= 16]
+        key[miss, 2] = out[miss]
+        self.front[row[miss]] = key[miss]
+        return out
+
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.slot) > self.most:
             self._forget()
-        words = [t.replace("\n", " ").split(" ") for t in batch]
-        slots = [np.fromiter(map(self.slot.__getitem__, w), np.int64, len(w)) for w in words]
+        flat = self._numbers(batch)
         self._learn()
-        flat = np.concatenate(slots)
         self.seen[:self.known] += np.bincount(flat, minlength=self.known)
         n = self.n[flat].astype(np.int64)
         end = np.cumsum(n)
         ids = self.flat[np.repeat(self.at[flat] - end + n, n) + np.arange(end[-1])]
-        cut = end[np.cumsum([len(s) for s in slots]) - 1]
+        cut = end[np.cumsum([t.count(" ") + t.count("\n") + 1 for t in batch]) - 1]
         return np.split(ids, cut[:-1])
 
 
